@@ -64,3 +64,11 @@ CANDIDATE_RESULT = StructType(
     + [StructField("n", LongType()), StructField("n_correct", LongType())]
     + _strings("accuracy_pct", "role")
 )
+
+
+def extended(schema: StructType, **columns: str) -> StructType:
+    """A copy with more columns, given by type name; `add` alone would change the original."""
+    copy = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        copy.add(name, kind)
+    return copy
