@@ -1 +1,9 @@
 """Spark jobs over labelled messages: normalise, filter, score, label, sample, evaluate."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions of this package travel to the executors with their code, so
+# the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

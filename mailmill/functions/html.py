@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from .text import strip
 
 # What lies between two text nodes: a comment, an element whose text is not
-# shown, a tag (with `>` allowed inside quotes), a declaration.
-_BETWEEN = "|".join(
+# shown, a tag (with `>` allowed inside quotes), a declaration. The `<` they
+# share stands first, so that most characters are passed over at one look.
+_BETWEEN = "<(?:" + "|".join(
     (
-        r"(?s:<!--.*?(?:-->|\z))",
-        r"(?is:<(script|style|template|rt|rp)\b[^>]*>.*?(?:</\1\s*>|\z))",
-        r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
-        r"</?[a-zA-Z][^>]*>",
-        r"<[!?/][^>]*>",
+        r"(?s:!--.*?(?:-->|\z))",
+        r"(?is:(script|style|template|rt|rp)\b[^>]*>.*?(?:</\1\s*>|\z))",
+        r"""/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
+        r"/?[a-zA-Z][^>]*>",
+        r"[!?/][^>]*>",
     )
-)
+) + ")"
 
 # Replaced one after the other, the ampersand last, so that `&amp;lt;` ends as `&lt;`.
 _COMMON = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&"))
@@ -34,13 +35,18 @@ _OLD_PAGES = {
 }
 
 
+def _constant_map(pairs: dict[str, str]) -> Column:
+    """One literal, folded into a map when the query is planned."""
+    text = "\x02".join(f"{key}\x01{value}" for key, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
 def _names() -> Column:
-    pairs = [F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))]
-    return F.create_map(*pairs)
+    return _constant_map({name: chr(code) for name, code in name2codepoint.items()})
 
 
 def _old_pages() -> Column:
-    return F.create_map(*[F.lit(v) for code, c in _OLD_PAGES.items() if c for v in (code, c)])
+    return _constant_map({str(code): c for code, c in _OLD_PAGES.items() if c})
 
 
 def _character(code: Column) -> Column:
@@ -48,7 +54,8 @@ def _character(code: Column) -> Column:
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     four_bytes = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return F.when(
-        valid, F.coalesce(F.try_element_at(_old_pages(), code.cast("int")), F.decode(four_bytes, "UTF-32"))
+        valid,
+        F.coalesce(F.try_element_at(_old_pages(), code.cast("string")), F.decode(four_bytes, "UTF-32")),
     ).otherwise(F.lit("�"))
 
 

@@ -29,7 +29,7 @@ def tag_labels(labels: Column, ignored: Iterable[str] = IGNORED_LABELS) -> Colum
 
 def main_label(tags: Column) -> Column:
     """The first tag label, or ''."""
-    return F.coalesce(F.get(tags, F.lit(0)), F.lit(""))
+    return F.coalesce(F.try_element_at(tags, F.lit(1)), F.lit(""))
 
 
 def holds_all(label_ids: Column, wanted: Iterable[str]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .html import html_to_text
-from .text import decode_base64url, decode_utf8, or_empty
+from .text import decode_base64url, decode_utf8, once, or_empty
 
 DEFAULT_DEPTH = 6
 
@@ -109,8 +109,10 @@ def join_text_parts(parts: Column, prefer_plain: bool = False) -> Column:
         parts = F.when(F.size(plain) > 0, plain).otherwise(parts)
 
     def decode(part: Column) -> Column:
-        text = decode_utf8(decode_base64url(part["data"]))
-        return F.when(part["mime"] == "text/html", html_to_text(text)).otherwise(text)
+        return once(
+            decode_utf8(decode_base64url(part["data"])),
+            lambda text: F.when(part["mime"] == "text/html", html_to_text(text)).otherwise(text),
+        )
 
     texts = F.filter(F.transform(parts, decode), lambda t: t != "")
     return F.array_join(texts, "\n")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..categories import CATEGORIES, IGNORED_LABELS
-from ..functions.text import WHITESPACE, WHITESPACE_CLASS
+from ..functions.text import WHITESPACE
 from ..operators.scoring import DEFAULT_RULES, word_pattern
 from .table_queries import _LIMITS, TABLE_RULES
 
@@ -99,7 +99,7 @@ _TRIM = f"trim(%s, {_SPACE})"
 
 
 def _squeeze(text: str) -> str:
-    return _TRIM % f"regexp_replace({text}, '{WHITESPACE_CLASS}+\n', chr(10), 'g')"
+    return _TRIM % f"regexp_replace({text}, '[{WHITESPACE}]+\n', chr(10), 'g')"
 
 
 def _page_text(html: str) -> str:

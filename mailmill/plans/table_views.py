@@ -85,7 +85,10 @@ def label_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _part(mime: str, text: Column) -> Column:
-    data = F.replace(F.replace(F.base64(text.cast("binary")), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+    data = F.base64(text.cast("binary"))
+    # Spark breaks base64 into lines; a mail API does not.
+    for found, put in (("\r\n", ""), ("+", "-"), ("/", "_")):
+        data = F.replace(data, F.lit(found), F.lit(put))
     return F.struct(F.lit(mime).alias("mimeType"), F.struct(data.alias("data")).alias("body"))
 
 
