@@ -19,10 +19,17 @@ _FORMAT = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+# A cell with nothing in it is null, a quoted empty one is ''. Spark tells them
+# apart only if null has a name of its own on reading, which no cell holds.
+_NULL = "\x01null\x01"
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Never infers a type: an id of digits stays text. The header is checked against the schema."""
-    return spark.read.schema(schema).options(**_FORMAT, multiLine=True, enforceSchema=False).csv(path)
+    reader = spark.read.schema(schema).options(
+        **_FORMAT, multiLine=True, enforceSchema=False, nullValue=_NULL
+    )
+    return reader.csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
