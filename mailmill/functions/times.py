@@ -13,10 +13,16 @@ def epoch_millis(text: Column) -> Column:
     return text.try_cast("bigint")
 
 
+def utc_moment(millis: Column) -> Column:
+    """UTC wall clock; the session time zone plays no part."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = millis.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")
+    return start + F.make_dt_interval(secs=seconds)
+
+
 def local_iso(millis: Column, zone: str = DEFAULT_ZONE) -> Column:
     """Local ISO-8601 text with seconds and the offset in force then; null becomes ''."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    utc = start + F.make_dt_interval(secs=millis.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)"))
+    utc = utc_moment(millis)
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     clock = F.substring(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), 1, 19)
     shift = F.timestamp_diff("SECOND", utc, local)

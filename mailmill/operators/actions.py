@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ACTION
+from .bounded import broadcast_if_small
 from .lookups import label_id_of_category, not_done_before
 
 SKIPPED, PENDING, APPLIED, ERROR = "skipped", "pending", "applied", "error"
@@ -18,8 +19,9 @@ def plan_actions(
     scored: DataFrame, label_dim: DataFrame, categories: DataFrame | None = None
 ) -> DataFrame:
     """One row per scored message: add a label, or skip and why."""
-    # At most one row per category, so this side is small by construction.
-    label_ids = F.broadcast(label_id_of_category(label_dim, categories))
+    label_ids = label_id_of_category(label_dim, categories)
+    # At most sixteen rows, unless other categories are given.
+    label_ids = F.broadcast(label_ids) if categories is None else broadcast_if_small(label_ids)
     named = F.nullif(F.col("category"), F.lit(""))
     planned = scored.select("id", named.alias("category")).join(label_ids, "category", "left")
     reason = F.when(F.col("category").isNull(), "no category").when(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..categories import IGNORED_LABELS
@@ -23,8 +23,9 @@ def category_counts(df: DataFrame, column: str = "category", keep_null: bool = F
 def category_report(df: DataFrame, width: int = BAR_CHARS) -> DataFrame:
     """Counts with share and text bar: one block each, scaled once the longest exceeds `width`."""
     counts = df.where(F.col("category").isNotNull()).groupBy("category").agg(F.count("*").alias("n"))
-    totals = counts.agg(F.struct(F.max("n").alias("most"), F.sum("n").alias("all"))).scalar()
-    most, everything = totals["most"], totals["all"]
+    # A window over the counts, one row per category, so that the table is read once.
+    all_counts = Window.partitionBy()
+    most, everything = F.max("n").over(all_counts), F.sum("n").over(all_counts)
     scaled = F.ceil(F.col("n") * F.lit(width).cast("double") / most)
     blocks = F.when(most <= width, F.col("n")).otherwise(scaled)
     return counts.select(

@@ -71,9 +71,10 @@ def label_id_of_category(label_dim: DataFrame, categories: DataFrame | None = No
 
     At most one row per category, sixteen unless other categories are given.
     """
-    categories = category_dim(label_dim.sparkSession) if categories is None else categories
+    if categories is None:
+        categories = F.broadcast(category_dim(label_dim.sparkSession))
     named = label_dim.withColumnRenamed("label_name", "category").join(
-        F.broadcast(categories), "category", "left_semi"
+        categories, "category", "left_semi"
     )
     return named.groupBy("category").agg(F.max_by("label_id", "scan_order").alias("label_id"))
 

@@ -13,7 +13,7 @@ from ..categories import IGNORED_LABELS
 from ..functions import prompts
 from ..functions.html import html_to_text
 from ..functions.labels import main_label, parse_label_text, tag_labels
-from ..functions.times import day_stamp, local_iso
+from ..functions.times import day_stamp, local_iso, utc_moment
 from ..operators import actions as act
 from ..operators import aggregates as agg
 from ..operators import evaluation as ev
@@ -185,7 +185,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.timestamp_millis("millis")
+    day = utc_moment(F.col("millis")).cast("date")
     return views.event_millis(spark, sf_dir).select(
         "event_id", local_iso(F.col("millis")).alias("local_time"), day_stamp(day).alias("stamp")
     )
