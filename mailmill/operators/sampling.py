@@ -4,8 +4,9 @@ Rows are ordered by md5 of id and seed. To take exactly the first k of that
 order nothing is sorted as a whole: rows are counted per leading digits of the
 hash, the one group of digits in which the k-th row lies is ranked, and the
 k-th hash becomes a threshold every row is compared with in the scan stage.
-Only counts, and about one row in 4,096, are ever shuffled. Ids must be
-unique; `latest_per_id` makes them so.
+Only counts, and about one row in 4,096, are ever shuffled. The numbers are
+exact for unique ids, which `latest_per_id` makes. Where ids repeat, all copies
+of the last id taken come along, so that no id is on both sides of a split.
 """
 
 from __future__ import annotations
@@ -49,9 +50,16 @@ def _last_places(places: DataFrame, quota: Column) -> DataFrame:
         .select("group", "bucket", "wanted")
     )
     in_edge = places.join(broadcast_if_small(edges), ["group", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("group", "bucket").orderBy("place"))
-    ranked = in_edge.withColumn("rank", rank).where(F.col("rank") == F.col("wanted"))
-    return ranked.select("group", F.col("place").alias("last"))
+    # Copies of one id are counted before the shuffle, so many of them are one row.
+    counted = in_edge.groupBy("group", "bucket", "wanted", "place").agg(F.count("*").alias("copies"))
+    so_far = Window.partitionBy("group", "bucket").orderBy("place").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    reached = counted.withColumn("reached", F.sum("copies").over(so_far))
+    first = (F.col("reached") >= F.col("wanted")) & (
+        F.col("reached") - F.col("copies") < F.col("wanted")
+    )
+    return reached.where(first).select("group", F.col("place").alias("last"))
 
 
 def stratified_sample(

@@ -232,6 +232,22 @@ def test_split_of_few_and_none(spark):
     assert sampling.stratified_sample(ten.limit(0).withColumn("category", F.lit("x"))).count() == 0
 
 
+def test_copies_of_an_id_stay_together(spark):
+    rows = [("hot",)] * 3000 + [(f"x{i}",) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id string").repartition(4)
+    order = in_seeded_order({r[0] for r in rows})
+    for ratio in (0.1, 0.5, 0.75):
+        wanted, want = int(len(rows) * ratio), set()
+        taken = 0
+        for key in order:
+            if taken >= wanted:
+                break
+            want.add(key)
+            taken += 3000 if key == "hot" else 1
+        got = sampling.train_val_split(df, ratio).where("split = 'train'")
+        assert {r.id for r in got.collect()} == want and got.count() == taken
+
+
 def test_split_does_not_shuffle_the_rows(skewed):
     plan = sampling.train_val_split(skewed[1])._jdf.queryExecution().executedPlan().toString()
     main = plan.split("Subquery")[0]
