@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from mailmill.llm.bpe import bpe_digest, round_trip
+from mailmill.llm.fertility import judge_quality
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.tables import table
 from mailmill.llm.urls import judge_urls
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+"""Vocabulary files lie at the same place on every worker, or are given by path."""
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge_quality(docs, BYTE_RANKS, PIECES).drop("text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op6_url_filters, op9_quality_rules, op10_pii)}
 ORACLE: dict[str, str] = {}

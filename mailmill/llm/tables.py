@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_mailmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="mailmill-code-")) / "mailmill_code.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    context._mailmill_shipped = True
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared work folder and read again.
 
