@@ -1,9 +1,9 @@
 """Quality rules: how well public vocabularies fit a text.
 
 Two public tokenizers measure a text: a byte-level vocabulary and one of pieces
-that falls back to bytes. A text passes if its characters per token, its share of
-byte-fallback tokens and the entropy of its tokens lie in the bands of its script
-(the script of most of its letters). Base counts of words, symbols and repeats
+that falls back to bytes. A text passes if its characters per token, its shares of
+byte-fallback tokens and of tokens that hold marks only, and the entropy of its
+tokens lie in the bands of its script (the script of most of its letters). Base counts of words, symbols and repeats
 come from the same pass.
 
 Words end at ASCII white space. Each distinct word of a slice of a batch is
@@ -35,12 +35,12 @@ WINDOW = 8
 
 RESULT = (
     "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,"
-    "script:string,chars_per_token:double,chars_per_piece:double,fallback_share:double,entropy:double>"
+    "script:string,chars_per_token:double,chars_per_piece:double,fallback_share:double,mark_share:double,entropy:double>"
 )
 _ARROW = pa.struct([
     *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
     ("script", pa.string()),
-    *[(n, pa.float64()) for n in ("chars_per_token", "chars_per_piece", "fallback_share", "entropy")],
+    *[(n, pa.float64()) for n in ("chars_per_token", "chars_per_piece", "fallback_share", "mark_share", "entropy")],
 ])
 
 
@@ -52,15 +52,16 @@ class Band:
     most_per_token: float
     least_per_piece: float
     most_fallback: float
+    most_marks: float
     least_entropy: float
 
 
 BANDS = {
-    "latin": Band(1.45, 8.0, 1.4, 0.12, 2.5),
-    "cyrillic": Band(0.5, 8.0, 1.2, 0.12, 2.5),
-    "greek": Band(0.4, 8.0, 0.9, 0.3, 2.5),
-    "han": Band(0.3, 4.0, 0.4, 0.6, 2.5),
-    "other": Band(0.2, 8.0, 0.3, 0.9, 2.0),
+    "latin": Band(1.45, 8.0, 1.4, 0.12, 0.15, 2.5),
+    "cyrillic": Band(0.5, 8.0, 1.2, 0.12, 0.2, 2.5),
+    "greek": Band(0.4, 8.0, 0.9, 0.3, 0.2, 2.5),
+    "han": Band(0.3, 4.0, 0.4, 0.6, 0.25, 2.5),
+    "other": Band(0.2, 8.0, 0.3, 0.9, 0.3, 2.0),
 }
 
 # Symbols of the base rule, and the first and last letters of scripts by code point.
@@ -87,13 +88,17 @@ def _tools(ranks_path: str, pieces_path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
     merged = tiktoken.Encoding("ranks", pat_str=r"\s*\S+|\s+", mergeable_ranks=ranks, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-    is_byte = np.array([pieces.IsByte(i) for i in range(pieces.GetPieceSize())])
-    return merged, pieces, is_byte, {}
+    every = range(pieces.GetPieceSize())
+    is_byte = np.array([pieces.IsByte(i) for i in every])
+    plain = [pieces.IdToPiece(i).replace("\u2581", "") for i in every]
+    # A piece of marks only. Bytes of fallback are letters of rarer scripts as a rule.
+    is_mark = np.array([bool(p) and not any(c.isalnum() for c in p) for p in plain]) & ~is_byte
+    return merged, pieces, is_byte, is_mark, {}
 
 
-def _tokens_of(words: list[bytes], tools) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: number of byte-level tokens, of pieces; all pieces on end and whether each is a byte."""
-    merged, pieces, is_byte, known = tools
+def _tokens_of(words: list[bytes], tools) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: number of byte-level tokens, of pieces; all pieces on end."""
+    merged, pieces, _, _, known = tools
     if len(known) > WORDS:
         known.clear()
     new = [w for w in words if w not in known]
@@ -105,7 +110,7 @@ def _tokens_of(words: list[bytes], tools) -> tuple[np.ndarray, np.ndarray, np.nd
     n_tokens = np.fromiter((n for n, _ in found), np.int64, len(found))
     n_pieces = np.fromiter((len(p) for _, p in found), np.int64, len(found))
     flat = np.concatenate([p for _, p in found]) if found else np.zeros(0, np.int32)
-    return n_tokens, n_pieces, flat, is_byte[flat]
+    return n_tokens, n_pieces, flat
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -178,12 +183,14 @@ def measure(texts: list[bytes], tools) -> list[np.ndarray | list[str]]:
     word_ids = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
     repeat = np.bincount(doc, repeated_words(word_ids, doc), n).astype(np.int64)
 
-    n_tokens, n_pieces, flat, byte = _tokens_of(list(ids), tools)
+    n_tokens, n_pieces, flat = _tokens_of(list(ids), tools)
     ends = np.cumsum(n_pieces)
-    bytes_of_word = np.diff(np.concatenate([[0], np.cumsum(byte)])[np.concatenate([[0], ends])])
+    of_word = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags[flat])])[np.concatenate([[0], ends])])
+    bytes_of_word, marks_of_word = of_word(tools[2]), of_word(tools[3])
     tokens = np.bincount(doc, n_tokens[word_ids], n)
     pieces = np.bincount(doc, n_pieces[word_ids], n)
     fallback = np.bincount(doc, bytes_of_word[word_ids], n)
+    marks = np.bincount(doc, marks_of_word[word_ids], n)
 
     # Pieces of every text, then how often each text has each.
     many = n_pieces[word_ids]
@@ -199,7 +206,7 @@ def measure(texts: list[bytes], tools) -> list[np.ndarray | list[str]]:
     per = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
     scripts = ["latin" if lat > high else _script(t.decode("utf-8", "replace")) for lat, high, t in zip(n_latin, n_high, texts)]
     dup = np.fromiter(map(_duplicate_lines, texts), np.int64, n)
-    return [n_words, word_chars, n_symbols, dup, repeat, scripts, per(word_chars, tokens), per(word_chars, pieces), per(fallback, pieces), entropy]
+    return [n_words, word_chars, n_symbols, dup, repeat, scripts, per(word_chars, tokens), per(word_chars, pieces), per(fallback, pieces), per(marks, pieces), entropy]
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -243,6 +250,7 @@ def judge_quality(docs: DataFrame, ranks_path: str, pieces_path: str, text: str
             reason.when(of & ~F.col("chars_per_token").between(b.least_per_token, b.most_per_token), "characters per token")
             .when(of & (F.col("chars_per_piece") < b.least_per_piece), "characters per piece")
             .when(of & (F.col("fallback_share") > b.most_fallback), "byte fallback")
+            .when(of & (F.col("mark_share") > b.most_marks), "marks")
             .when(of & (F.col("entropy") < b.least_entropy), "entropy")
         )
     judged = wide.withColumn("base_failed", base_failed).withColumn("reason", reason)
