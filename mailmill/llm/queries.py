@@ -9,6 +9,7 @@ from mailmill.llm.bpe import bpe_digest, round_trip
 from mailmill.llm.fertility import judge_quality
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.tables import table
+from mailmill.llm.toxicity import held_out, score_toxicity, train_toxicity
 from mailmill.llm.urls import judge_urls
 
 
@@ -24,6 +25,12 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -37,5 +44,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_url_filters, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
 ORACLE: dict[str, str] = {}
