@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailmill.llm.bpe import bpe_digest, round_trip
 from mailmill.llm.fertility import judge_quality
+from mailmill.llm.lines import dedup_lines
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.tables import table
 from mailmill.llm.toxicity import held_out, score_toxicity, train_toxicity
@@ -21,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -44,5 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op5_line_dedup, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
 ORACLE: dict[str, str] = {}

@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once per application, so that it need not be installed there."""
+    """Makes the session ready for Python in tasks.
+
+    Sends this package's code to the executors, once per application, so that it
+    need not be installed there. Texts may be long, so batches hold fewer rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_mailmill_shipped", False):
         return
