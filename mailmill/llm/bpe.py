@@ -18,8 +18,8 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 
 from mailmill.llm.tables import ship
 
-WORDS = 400_000
+WORDS = 200_000
 _SHORT = 24
 
 
@@ -43,13 +43,13 @@ def byte_letters() -> list[str]:
 
 
 class _Remembered(dict):
-    """Values by key, made when first asked for; emptied when full."""
+    """Ids as packed bytes by key, made when first asked for; emptied when full."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
         self.make, self.most = make, most
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
@@ -97,22 +97,30 @@ class Vocabulary:
                 begin = at
         yield word[begin:]
 
-    def encode_fragment(self, key: str) -> tuple[int, ...]:
+    def encode_fragment(self, key: str) -> bytes:
         """Ids of a fragment; the last one of a word has a line end behind it, which no byte letter is."""
         parts = [*key[:-2], key[-2] + self.end] if key[-1] == "\n" else list(key)
-        return tuple(self.ids[token] for token in self.merge(parts))
+        return array("i", [self.ids[token] for token in self.merge(parts)]).tobytes()
 
     def merge(self, parts: list[str]) -> list[str]:
         """A fragment after all merges, the lowest rank first, of equal ranks the leftmost."""
         return self._merge_short(parts) if len(parts) <= _SHORT else self._merge_long(parts)
 
     def _merge_short(self, parts: list[str]) -> list[str]:
-        ranks, never = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(pair, never), i) for i, pair in enumerate(_neighbours(parts)))
+        rank_of, never = self.ranks.get, len(self.ranks)
+        parts = list(parts)
+        ranks = [rank_of(pair, never) for pair in _neighbours(parts)]
+        while ranks:
+            rank = min(ranks)
             if rank == never:
                 break
-            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+            at = ranks.index(rank)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank_of((parts[at], parts[at + 1]), never)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -137,11 +145,11 @@ class Vocabulary:
                         heapq.heappush(heap, (self.ranks[pair], i, pair))
         return [p for p in parts if p]
 
-    def encode_letters(self, word: str) -> tuple[int, ...]:
+    def encode_letters(self, word: str) -> bytes:
         *inner, last = self.fragments(word)
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, [*inner, last + "\n"])))
+        return b"".join(map(self.pieces.__getitem__, [*inner, last + "\n"]))
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> bytes:
         return self.encode_letters("".join([self.letters[b] for b in word.encode("utf-8")]))
 
     def is_odd(self, text: str) -> bool:
@@ -153,29 +161,24 @@ class Vocabulary:
             (self.agreed if theirs == own else self.odd).add(c)
         return bool(self.odd) and not self.odd.isdisjoint(text)
 
-    def encode_plain(self, text: str) -> Iterator[int]:
+    def encode_plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
         if text.isascii():
-            return chain.from_iterable(map(self.words.__getitem__, self.find_words(text.lower())))
+            return b"".join(map(self.words.__getitem__, self.find_words(text.lower())))
         if self.is_odd(text):
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return chain.from_iterable(self.encode_letters(w) for w, _ in words if w)
-        return chain.from_iterable(map(self.words.__getitem__, self.find_words(_lowered(text))))
+            return b"".join(self.encode_letters(w) for w, _ in words if w)
+        return b"".join(map(self.words.__getitem__, self.find_words(_lowered(text))))
 
-    def encode_into(self, ids: array, text: str) -> None:
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
         if "<|" not in text and not any(s in text for s in self.specials):
-            ids.extend(self.encode_plain(text))
-            return
-        for piece in self.find_specials.split(text):
-            if piece in self.specials:
-                ids.append(self.specials[piece])
-            else:
-                ids.extend(self.encode_plain(piece))
+            return self.encode_plain(text)
+        special = {s: array("i", [i]).tobytes() for s, i in self.specials.items()}
+        return b"".join(special[p] if p in special else self.encode_plain(p) for p in self.find_specials.split(text))
 
     def encode(self, text: str) -> list[int]:
-        ids = array("i")
-        self.encode_into(ids, text)
-        return ids.tolist()
+        return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of known ids with a space between, as the file names no decoder."""
@@ -202,11 +205,10 @@ def encode(text: Column, path: str) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def ids_of(texts: pa.Array) -> pa.Array:
         words = vocabulary(path)
-        ids, offsets = array("i"), [0]
-        for text in texts:
-            words.encode_into(ids, text.as_py() or "")
-            offsets.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(ids), pa.int32()))
+        packed = [words.encode_packed(text.as_py() or "") for text in texts]
+        offsets = np.cumsum([0, *map(len, packed)]) // 4
+        ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
 
     return ids_of(text)
 
@@ -217,7 +219,9 @@ def decode(ids: Column, path: str) -> Column:
     @F.arrow_udf(StringType())
     def text_of(rows: pa.Array) -> pa.Array:
         words = vocabulary(path)
-        return pa.array([words.decode(row.as_py() or []) for row in rows], pa.string())
+        ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
+        spans = zip(ends[:-1], ends[1:])
+        return pa.array([words.decode(flat[a:b].tolist()) for a, b in spans], pa.string())
 
     return text_of(ids)
 
