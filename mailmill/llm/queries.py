@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mailmill.llm.bpe import bpe_digest, round_trip
 from mailmill.llm.fertility import judge_quality
+from mailmill.llm.jaccard import near_duplicates
 from mailmill.llm.lines import dedup_lines
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.tables import table
@@ -18,6 +19,10 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 """Vocabulary files lie at the same place on every worker, or are given by path."""
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE))
 
@@ -49,5 +54,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_line_dedup, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op5_line_dedup, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
 ORACLE: dict[str, str] = {}
