@@ -75,12 +75,12 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts on end, where each begins, and start, end and text of each word."""
+def words_of(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts on end, where each begins, and start, end and text of each word. `space` marks the bytes between words."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = np.cumsum(lengths) - lengths
-    space = _SPACE[raw]
+    space = space[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(raw) and not space[0]:
         edge = np.concatenate([[0], edge])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailmill.llm.bpe import bpe_digest, round_trip
+from mailmill.llm.decontaminate import find_contaminated
 from mailmill.llm.fertility import judge_quality
 from mailmill.llm.jaccard import near_duplicates
 from mailmill.llm.lines import dedup_lines
@@ -35,6 +37,13 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    best = (F.count("*").alias("n_passages"), F.max("share").alias("share"), F.max("cosine").alias("cosine"))
+    return found.groupBy("doc_id", "item_id").agg(*best)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -54,5 +63,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op5_line_dedup, op6_url_filters, op8_toxicity, op9_quality_rules, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii)}
 ORACLE: dict[str, str] = {}
