@@ -32,10 +32,12 @@ from mailmill.llm.tables import ship
 WINDOW, STRIDE = 24, 12
 MOST_TRAINING = 1500
 TRAINING_CHARS = 20_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 WORD_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 14
 WIDTH, STATE, ATTENTION = 20, 10, 8
-EPOCHS, BATCH, RATE = 7, 256, 0.01
+EPOCHS, BATCH, RATE = 7, 192, 0.01
+STEPS = 600
+"""Small samples are gone over more often, until there were so many steps."""
 _INFER = 4096
 
 Parameters = dict[str, np.ndarray]
@@ -121,9 +123,13 @@ def fresh_parameters(seed: int = 7) -> Parameters:
 
 def embed(p: Parameters, features: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     words, groups, starts = features
-    sums = np.add.reduceat(p["group"][groups], starts)
-    counts = np.diff(np.append(starts, len(groups))).astype(np.float32)
-    return p["word"][words] + sums / counts[:, None]
+    out = p["word"][words]
+    bounds = np.append(starts, len(groups))
+    for i in range(0, len(words), 20_000):
+        part = bounds[i : i + 20_001]
+        sums = np.add.reduceat(p["group"][groups[part[0] : part[-1]]], part[:-1] - part[0])
+        out[i : i + 20_000] += sums / np.diff(part)[:, None].astype(np.float32)
+    return out
 
 
 def _recur(inputs: np.ndarray, windows: np.ndarray, state: np.ndarray, backward: bool, keep: list | None) -> np.ndarray:
@@ -230,7 +236,7 @@ def _highest(logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(logits, np.cumsum(counts) - counts)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Parameters:
+def train(texts: list[str], labels: list[int], seed: int = 7) -> Parameters:
     """Parameters with `scale`: the logistic fit of the highest window and the log of their number."""
     rng = np.random.default_rng(seed)
     words, y = Words(), np.array(labels, np.float32)
@@ -240,6 +246,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7, epochs: int = EPOC
     every = np.concatenate(per_text)
     owner = np.repeat(np.arange(len(texts)), counts)
     fitted = rng.random(len(texts)) < 0.8
+    # About two windows of each text of a class and three more of the others.
+    epochs = max(EPOCHS, int(np.ceil(STEPS / np.ceil(5 * len(texts) / BATCH))))
     p = fresh_parameters(seed)
     mean, square, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
@@ -310,11 +318,14 @@ def held_out(doc_id: str = "doc_id"):
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Parameters | None:
     """A model from the labelled texts that are not held out; None where a class is missing."""
     own = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.where(~held_out()).select("doc_id", "text").where(F.length("text") <= TRAINING_CHARS)
-    rows = texts.join(own, "doc_id").withColumn("at", F.xxhash64("doc_id"))
-    sample = []
+    # Ids are chosen first, so that only the chosen texts move.
+    chosen = []
     for label in (0, 1):
-        sample += rows.where(F.col("toxic") == label).orderBy("at", "doc_id", "text").limit(most).select("text", "toxic").collect()
+        of = own.where(F.col("toxic") == label).where("doc_id is not null")
+        chosen += of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    ids = docs.sparkSession.createDataFrame(chosen, own.schema)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAINING_CHARS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sample = sorted(texts.select("doc_id", "text", "toxic").collect())
     if len({r.toxic for r in sample}) < 2:
         return None
     return train([r.text for r in sample], [r.toxic for r in sample])
