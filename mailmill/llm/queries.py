@@ -11,7 +11,7 @@ from mailmill.llm.decontaminate import find_contaminated
 from mailmill.llm.fertility import judge_quality
 from mailmill.llm.jaccard import near_duplicates
 from mailmill.llm.lines import dedup_lines
-from mailmill.llm import ngrams
+from mailmill.llm import licences, ngrams
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.tables import table
 from mailmill.llm.toxicity import held_out, score_toxicity, train_toxicity
@@ -30,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digest(licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_texts(table(spark, sf_dir, "documents"), ngrams.trained())
 
@@ -68,5 +72,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii)}
+ORACLE: dict[str, str] = {"op3_license_scans": licences.oracle()}
