@@ -37,11 +37,13 @@ from mailmill.llm.tables import ship, stored
 
 FOLD = 3
 LEAST_WORDS = 25
-CONTEXT = 700
+CONTEXT = 320
 """Bytes beside a run that are compared as well. Any longer common part has a chunk of its own."""
 SLICE_BYTES = 4 << 20
-SEGMENT = 40
+SEGMENT = 24
 """Chunks of a run that are compared in one piece."""
+LEAST_RUN = 8
+"""Words of a run, as its chunks hold them; a passage that is cut in the end has more of them."""
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
@@ -138,7 +140,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column("key").to_numpy()
         texts = [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
         for at, some in slices(texts):
-            own, hashes, _, n_lines, start, _ = chunks_of(some)
+            own, hashes, n_words, n_lines, _, _ = chunks_of(some)
             place = np.arange(len(own)) - np.searchsorted(own, own)
             kept = np.flatnonzero(n_lines >= 2)
             # The first of equal chunks of a text.
@@ -146,7 +148,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (own[order][1:] != own[order][:-1])]) if len(order) else np.zeros(0, bool)
             order = np.sort(order[new])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at + own[order]]), pa.array(place[order].astype(np.int32)), pa.array(hashes[order])], names=["key", "place", "hash"]
+                [pa.array(keys[at + own[order]]), pa.array(place[order].astype(np.int32)), pa.array(hashes[order]), pa.array(n_words[order].astype(np.int32))],
+                names=["key", "place", "hash", "words"],
             )
 
 
@@ -202,13 +205,10 @@ def _common(a: bytes, b: bytes) -> int:
 def grown(left: bytes, right: bytes, other_left: bytes, other_right: bytes) -> tuple[int, int]:
     """Bytes by which a match grows on both sides, in whole words."""
     n = _common(left[::-1], other_left[::-1])
-    whole = n == len(left) < CONTEXT or n == len(other_left) < CONTEXT
     if n < len(left) and not left[len(left) - n - 1 : len(left) - n].isspace():
+        # The agreement begins inside a word: from the next space on.
         tail = left[len(left) - n :]
-        cut = min((i for i in range(len(tail)) if tail[i : i + 1].isspace()), default=len(tail))
-        n = len(tail) - cut
-    elif not whole and n == 0:
-        n = 0
+        n = len(tail) - min((i for i in range(n) if tail[i : i + 1].isspace()), default=n)
     m = _common(right, other_right)
     if m < len(right) and m > 0 and not right[m : m + 1].isspace():
         m = max((i for i in range(m) if right[i : i + 1].isspace()), default=0)
@@ -256,20 +256,21 @@ def repeated_runs(chunks: DataFrame) -> DataFrame:
     side = Window.partitionBy("key", "other", "shift").orderBy("place")
     marked = moved.withColumn("island", F.col("place") - F.row_number().over(side))
     marked = marked.withColumn("segment", F.floor((F.row_number().over(Window.partitionBy("key", "other", "shift", "island").orderBy("place")) - 1) / SEGMENT))
-    runs = marked.groupBy("key", "other", "shift", "island", "segment").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    runs = marked.groupBy("key", "other", "shift", "island", "segment").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.sum("words").alias("words"))
+    runs = runs.where((F.col("words") >= LEAST_RUN) | (F.col("segment") > 0))
     return runs.select("key", "first", "last", "other", (F.col("first") + F.col("shift")).alias("o_first"), (F.col("last") + F.col("shift")).alias("o_last"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, start, end) of bytes that stand in a text of a smaller key as well."""
     keyed = docs.where(F.col(text).isNotNull()).select(_key(text, doc_id).alias("key"), F.col(text).alias("text"))
-    chunks = stored(keyed.mapInArrow(_chunk_rows, "key long, place int, hash long"), "chunks")
+    chunks = stored(keyed.mapInArrow(_chunk_rows, "key long, place int, hash long, words int"), "chunks")
     runs = stored(repeated_runs(chunks), "runs")
     ranges = runs.select("key", "first", "last").unionByName(runs.select(F.col("other").alias("key"), F.col("o_first").alias("first"), F.col("o_last").alias("last")))
     wanted = ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("wanted"))
     pack = F.arrow_udf(_packed, "binary")
     packed = keyed.select("key", pack("text").alias("packed"))
-    pieces = stored(packed.join(wanted, "key").mapInArrow(_piece_rows, _PIECE).dropDuplicates(["key", "first", "last"]), "pieces")
+    pieces = stored(packed.join(wanted, "key").mapInArrow(_piece_rows, _PIECE), "pieces")
     other = pieces.select(F.col("key").alias("other"), F.col("first").alias("o_first"), F.col("last").alias("o_last"), F.col("left").alias("o_left"), F.col("body").alias("o_body"), F.col("right").alias("o_right"))
     both = runs.join(pieces, ["key", "first", "last"]).join(other, ["other", "o_first", "o_last"])
     span = F.arrow_udf(_span, "struct<start:int,end:int>")("start", "end", "left", "body", "right", "o_left", "o_body", "o_right")
@@ -282,7 +283,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     Other columns stay; a column called `n_removed_words` is replaced.
     """
     ship(docs.sparkSession)
-    spans = repeated_spans(docs, text, doc_id).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, text, doc_id).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = stored(spans, "spans").withColumnsRenamed({"key": "_lines_key", "spans": "_lines_spans"})
 
     @F.arrow_udf("struct<text:string,removed:bigint>")

@@ -36,7 +36,7 @@ SLICE_BYTES = 4 << 20
 WORD_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 14
 WIDTH, STATE, ATTENTION = 20, 10, 8
 EPOCHS, BATCH, RATE = 7, 192, 0.01
-STEPS = 600
+STEPS = 250
 """Small samples are gone over more often, until there were so many steps."""
 _INFER = 4096
 
