@@ -321,24 +321,41 @@ def _block_joins(similarity: float):
     return join
 
 
-def block_pairs(grouped: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """Rows for tasks that compare every two blocks of a group: (group, x, y, side, class, text, ...)."""
-    sizes = grouped.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def block_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows for tasks that compare two blocks of a group: x and y name them, side tells in which a row is.
+
+    `placed` has class, block and limit: a block meets those numbered below its limit.
+    """
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("limit") - 1)))
     meet = each.withColumns({
         "x": F.least("block", "other"), "y": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int"),
     })
-    return meet.join(texts, "class")
+    return meet.drop("block", "other", "limit").join(texts, "class")
+
+
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("class"), blocks).cast("int")
 
 
 def mixed_buckets(members: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): what links hold together in large buckets that the components do not cover."""
+    """(a, b): what links hold together in large buckets of more than one component.
+
+    The largest component of a bucket is not compared with itself again.
+    """
     known = members.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    torn = known.groupBy("path").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    torn = torn.where((F.col("n") > SMALL) & (F.col("low") != F.col("high"))).select("path")
-    rows = block_pairs(members.join(torn, "path"), texts, "path")
-    return rows.groupBy("path", "x", "y").applyInArrow(_block_joins(similarity), "a long, b long").distinct()
+    parts = known.groupBy("path", "component").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("path").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    torn = whole.where((F.col("n") > SMALL) & (F.col("n") > F.col("most"))).select(
+        "path", "largest", blocks(F.col("n") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("own")
+    )
+    rows = known.join(torn, "path")
+    placed = rows.select(
+        "path", "class",
+        F.when(F.col("component") == F.col("largest"), F.col("rest") + _dealt(F.col("own"))).otherwise(_dealt(F.col("rest"))).alias("block"),
+        F.when(F.col("component") == F.col("largest"), F.col("rest")).otherwise(F.col("rest") + F.col("own")).alias("limit"),
+    )
+    return block_pairs(placed, texts).groupBy("path", "x", "y").applyInArrow(_block_joins(similarity), "a long, b long").distinct()
 
 
 def count_links(grouped: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -346,8 +363,9 @@ def count_links(grouped: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     `grouped` has class, component and copies.
     """
-    rows = block_pairs(grouped, texts, "component")
-    counted = rows.groupBy("component", "x", "y").applyInArrow(_block_counts(similarity), "class long, n long")
+    sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("limit"))
+    placed = grouped.join(sizes, "component").withColumn("block", _dealt(F.col("limit")))
+    counted = block_pairs(placed, texts).groupBy("component", "x", "y").applyInArrow(_block_counts(similarity), "class long, n long")
     return counted.groupBy("class").agg(F.sum("n").alias("n"))
 
 
