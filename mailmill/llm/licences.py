@@ -85,7 +85,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 def sentence_letters(text: Column) -> Column:
     """A letter for each sentence that is known and a dot for each other one."""
-    lines = F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1\n"), "\n", -1)
+    lines = F.split(F.regexp_replace(text, r"([.!?:;])[ \t\n\r\f]+", "$1\n"), "\n", -1)
     plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     known = _map(KNOWN)
     return F.array_join(F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(known[s], F.lit("."))), "")
@@ -125,7 +125,7 @@ def oracle() -> str:
     return rf"""
 with cut as (
   select doc_id, list_filter(list_transform(
-    string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10)),
+    string_split(regexp_replace(coalesce(text, ''), '([.!?:;])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10)),
     lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') as sentences
   from documents),
 lettered as (

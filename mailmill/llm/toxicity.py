@@ -110,7 +110,7 @@ def fresh_parameters(seed: int = 7) -> Parameters:
     rng = np.random.default_rng(seed)
     draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
     p = {
-        "word": draw(0.1, WORD_BUCKETS, WIDTH), "group": draw(0.3, GROUP_BUCKETS, WIDTH),
+        "word": draw(0.01, WORD_BUCKETS, WIDTH), "group": draw(0.01, GROUP_BUCKETS, WIDTH),
         "attend": draw(0.3, 2 * STATE, ATTENTION), "attend_bias": np.zeros(ATTENTION, np.float32),
         "query": draw(0.5, ATTENTION), "out": draw(0.3, 2 * STATE), "out_bias": np.zeros(1, np.float32),
     }
