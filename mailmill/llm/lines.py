@@ -203,14 +203,17 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def grown(left: bytes, right: bytes, other_left: bytes, other_right: bytes) -> tuple[int, int]:
-    """Bytes by which a match grows on both sides, in whole words."""
+    """Bytes by which a match grows on both sides, in whole words.
+
+    CONTEXT bytes may begin or end inside a word, and inside a character, of the text.
+    """
     n = _common(left[::-1], other_left[::-1])
-    if n < len(left) and not left[len(left) - n - 1 : len(left) - n].isspace():
+    if n == CONTEXT or n < len(left) and not left[len(left) - n - 1 : len(left) - n].isspace():
         # The agreement begins inside a word: from the next space on.
         tail = left[len(left) - n :]
         n = len(tail) - min((i for i in range(n) if tail[i : i + 1].isspace()), default=n)
     m = _common(right, other_right)
-    if m < len(right) and m > 0 and not right[m : m + 1].isspace():
+    if m == CONTEXT or 0 < m < len(right) and not right[m : m + 1].isspace():
         m = max((i for i in range(m) if right[i : i + 1].isspace()), default=0)
     return n, m
 
