@@ -146,8 +146,7 @@ def test_grown_stops_at_words():
     assert lines.grown(b"", b"", b"a ", b" b") == (0, 0)
     # As much as is looked at agrees, and it begins and ends inside characters.
     word = "\u0434\u0430 ".encode()
-    left = (word * lines.CONTEXT)[: -1][-lines.CONTEXT - 1 : -1] + b" "
-    left, right = left[-lines.CONTEXT :], (b" " + word * lines.CONTEXT)[: lines.CONTEXT]
+    left, right = (word * lines.CONTEXT + b"xx ")[-lines.CONTEXT :], (b" x" + word * lines.CONTEXT)[: lines.CONTEXT]
     n, m = lines.grown(left, right, left, right)
     assert 0 < n < lines.CONTEXT and left[len(left) - n :][:1].isspace()
     assert 0 < m < lines.CONTEXT and right[m : m + 1].isspace()
