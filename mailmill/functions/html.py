@@ -16,7 +16,9 @@ from .text import strip
 _BETWEEN = "<(?:" + "|".join(
     (
         r"(?s:!--.*?(?:-->|\z))",
-        r"(?is:(script|style|template|rt|rp)\b[^>]*>.*?(?:</\1\s*>|\z))",
+        r"(?is:(script|style|template)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z))",
+        # These two may be left open: the next of them or the end of the ruby closes them.
+        r"(?is:r[tp](?=[\s/>])[^>]*>.*?(?:</r[tp]\s*>|(?=<r[tp][\s/>])|(?=</ruby\s*>)|\z))",
         r"""/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""",
         r"/?[a-zA-Z][^>]*>",
         r"[!?/][^>]*>",

@@ -17,7 +17,9 @@ def parse_label_text(text: Column) -> Column:
         text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2"
     )
     is_list = F.startswith(F.ltrim(as_json), F.lit("["))
-    parsed = F.when(is_list, F.from_json(as_json, "array<string>"))
+    # Inside a list of its own, text behind the end of the list is an error.
+    wrapped = F.from_json(F.concat(F.lit("["), as_json, F.lit("]")), "array<array<string>>")
+    parsed = F.when(is_list & (F.size(wrapped) == 1), F.try_element_at(wrapped, F.lit(1)))
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 

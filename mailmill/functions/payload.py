@@ -24,6 +24,8 @@ _TEXT = StringType()
 _HEADERS = ArrayType(
     StructType([StructField("name", _TEXT), StructField("value", _TEXT)])
 )
+# The JSON reader's own limits would turn a longer or deeper record into nulls.
+_NO_LIMITS = {"maxStringLen": "2147483647", "maxNestingDepth": "2147483647"}
 _LEAVES = ArrayType(StructType([StructField("mime", _TEXT), StructField("data", _TEXT)]))
 
 
@@ -68,10 +70,13 @@ def _goes_deeper(part: Column, depth: int) -> Column:
 
 
 def list_text_parts(payload: str | None) -> list[dict] | None:
-    """The text parts of one payload of any depth, in reading order."""
+    """The text parts of one payload of any depth, in reading order; none of what is no JSON."""
     if payload is None:
         return None
-    found, waiting = [], [json.loads(payload)]
+    try:
+        found, waiting = [], [json.loads(payload)]
+    except (ValueError, RecursionError):
+        return []
     while waiting:
         part = waiting.pop()
         if not isinstance(part, dict):
@@ -90,11 +95,11 @@ def _deep_leaves(payloads: pd.Series) -> pd.Series:
 
 
 def read_payload(payload: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    return F.from_json(payload, payload_schema(depth))
+    return F.from_json(payload, payload_schema(depth), _NO_LIMITS)
 
 
 def text_parts(parsed: Column, payload: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """Text parts of a payload read by `read_payload`, whatever its real depth."""
+    """Text parts of a payload read by `read_payload`, up to some 490 levels of parts."""
     deep = F.when(_goes_deeper(parsed, depth), payload)
     return F.coalesce(_deep_leaves(deep), _leaves(parsed, depth))
 

@@ -13,6 +13,7 @@ MAX_REASON_CHARS = 80
 EVALUATION_BODY_CHARS = 1500
 
 _ANSWER = "category string, reason_short string"
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def default_instruction() -> str:
@@ -44,11 +45,15 @@ def parse_response(response: Column, categories: tuple[str, ...] = CATEGORIES) -
     """struct(category, reason) of a JSON answer; both null unless all of it is valid.
 
     `from_json` would turn a number into text, so the types are checked on the
-    raw JSON too.
+    raw JSON too. It also stops at the end of the first value: the text is read once
+    inside a list and once inside an object, and no text with more behind its
+    value passes both.
     """
-    answer = F.from_json(response, _ANSWER)
+    listed = F.from_json(F.concat(F.lit("["), response, F.lit("]")), f"array<struct<{_ANSWER}>>", _STRICT)
+    answer = F.when(F.size(listed) == 1, F.try_element_at(listed, F.lit(1)))
     category, reason = answer["category"], answer["reason_short"]
-    raw = F.from_json(response, "map<string,variant>")
+    held = F.concat(F.lit('{"a":'), response, F.lit("}"))
+    raw = F.from_json(held, "a map<string,variant>", _STRICT)["a"]
 
     def is_text(field: str) -> Column:
         return F.schema_of_variant(F.try_element_at(raw, F.lit(field))) == "STRING"

@@ -21,13 +21,12 @@ def category_counts(df: DataFrame, column: str = "category", keep_null: bool = F
 
 
 def category_report(df: DataFrame, width: int = BAR_CHARS) -> DataFrame:
-    """Counts with share and text bar: one block each, scaled once the longest exceeds `width`."""
+    """Counts with share and text bar; the longest bar has `width` blocks, the others their part of it."""
     counts = df.where(F.col("category").isNotNull()).groupBy("category").agg(F.count("*").alias("n"))
     # A window over the counts, one row per category, so that the table is read once.
     all_counts = Window.partitionBy()
     most, everything = F.max("n").over(all_counts), F.sum("n").over(all_counts)
-    scaled = F.ceil(F.col("n") * F.lit(width).cast("double") / most)
-    blocks = F.when(most <= width, F.col("n")).otherwise(scaled)
+    blocks = F.ceil(F.col("n") * F.lit(width).cast("double") / most)
     return counts.select(
         "category",
         "n",

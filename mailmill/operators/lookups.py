@@ -23,7 +23,7 @@ def name_labels(
     most: int = MOST_MAPPED_LABELS,
 ) -> DataFrame:
     """Label ids to names inside the array, order kept; an unknown id stays as it is."""
-    names = label_dim.groupBy("label_id").agg(
+    names = label_dim.where(F.col("label_id").isNotNull()).groupBy("label_id").agg(
         F.max_by("label_name", "scan_order").alias("label_name")
     )
     rows = small_rows(names, most)

@@ -23,7 +23,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..categories import CATEGORIES, FALLBACK_CATEGORY
 from ..functions.prompts import (
-    MAX_REASON_CHARS,
     cut_body,
     default_instruction,
     parse_response,
@@ -114,10 +113,9 @@ class RuleScorer:
         return category.otherwise(FALLBACK_CATEGORY)
 
     def reason(self, category: Column) -> Column:
-        reason = F.when(category == FALLBACK_CATEGORY, "no rule matched").otherwise(
+        return F.when(category == FALLBACK_CATEGORY, "no rule matched").otherwise(
             F.concat(F.lit("words of "), category)
         )
-        return F.left(reason, F.lit(MAX_REASON_CHARS))
 
     def __call__(self, inputs: DataFrame) -> DataFrame:
         text = F.lower(F.concat(or_empty(F.col("subject")), F.lit("\n"), F.col("scored_body")))
@@ -176,7 +174,8 @@ class ResponseScorer:
 
         sender = F.col("from") if self.send_sender else None
         prompt = prompt_text(F.col("subject"), F.col("scored_body"), sender)
-        answered = inputs.withColumn("_answer", answer(prompt))
+        # Not deterministic for the planner: a filter on the answer must not ask a second time.
+        answered = inputs.withColumn("_answer", answer.asNondeterministic()(prompt))
         parsed = parse_response(F.col("_answer")["response"], self.categories)
         checked = answered.withColumn("_parsed", parsed)
         fault = F.coalesce(

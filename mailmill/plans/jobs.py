@@ -56,9 +56,10 @@ def _tag(
 
     messages = read_through(spark, job.root, scope, job.day, build, max_messages, reuse)
     write_scored(score_messages(messages, scorer), job.root, scope, job.day)
-    scored = spark.read.schema(SCORED).parquet(
-        f"{job.root}/scored/scope={scope}/run_date={job.day.strftime('%d%b%Y')}"
-    )
+    # By the root of the table: a day without mail in scope has no folder.
+    kept = spark.read.schema(extended(SCORED, scope="string", run_date="string")).parquet(f"{job.root}/scored")
+    this_run = (F.col("scope") == scope) & (F.col("run_date") == job.day.strftime("%d%b%Y"))
+    scored = kept.where(this_run).select(*SCORED.names)
     if not dry_run:
         planned = act.plan_actions(scored, labels)
         # This run's own partition is about to be replaced, so it is no history.

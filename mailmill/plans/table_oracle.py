@@ -139,8 +139,7 @@ def _report(source: str, column: str) -> str:
                  where {column} is not null group by 1),
     totals as (select max(n) as most, cast(sum(n) as double) as everything from counts)
     select category, n, 100.0::double * n / everything as share_pct,
-           repeat('█', cast(case when most <= 60 then n
-                            else ceil(n * 60::double / most) end as bigint)) as bar
+           repeat('█', cast(ceil(n * 60::double / most) as bigint)) as bar
     from counts, totals"""
 
 

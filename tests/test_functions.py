@@ -201,3 +201,37 @@ def test_response(run):
     got = [tuple(r) for r in run(prompts.parse_response, values)]
     no = (None, None)
     assert got == [("ADS", "sale"), no, no, no, no, ("ADS", "x" * 80), no, no, no, no, no]
+
+
+def test_more_behind_a_value_is_no_value(run):
+    good = '{"category":"ADS","reason_short":"x"}'
+    values = [f" {good} ", f"{good} thanks", f"{good}, {good}", f"{good}],[{good}", good + ',"b":{}', good.replace('"', "'")]
+    got = [tuple(r) for r in run(prompts.parse_response, values)]
+    assert got == [("ADS", "x")] + [(None, None)] * 5
+    values = ["['a','b']", "['a','b'] junk", "['a'],['b']", " ['a'] "]
+    assert run(labels.parse_label_text, values) == [["a", "b"], [], [], ["a"]]
+
+
+def test_html_left_open(run):
+    cases = {
+        "<p>a</p><ruby>K<rt>kan</ruby><p>rest</p>": "a K rest",
+        "<ruby>K<rp>(<rt>kan<rp>)</ruby>b": "K b",
+        "<ruby>K<rt>kan</rt></ruby>b": "K b",
+        "<p>a</p><style-guide>shown</style-guide><p>rest</p>": "a shown rest",
+        "<template-x>shown</template-x><p>rest</p>": "shown rest",
+        "<style>x{}</style><p>rest</p>": "rest",
+    }
+    assert dict(zip(cases, run(html.html_to_text, list(cases)))) == cases
+
+
+def test_long_and_deep_payloads(run):
+    leaf = {"mimeType": "text/plain", "body": {"data": b64("found")}}
+    deep = leaf
+    for _ in range(400):
+        deep = {"mimeType": "multipart/mixed", "parts": [deep]}
+    texts = lambda c: payload.join_text_parts(payload.text_parts(payload.read_payload(c), c))
+    assert run(texts, [json.dumps(deep)]) == ["found"]
+    long = json.dumps({"mimeType": "text/plain", "body": {"data": b64("a" * 15_800_000)}})
+    assert len(long) > 21_000_000
+    sizes = lambda c: F.length(texts(c))
+    assert run(sizes, [long]) == [15_800_000]
