@@ -25,6 +25,7 @@ A text that loses its last word goes; empty and null texts stay as they are.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ LEAST_RUN = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
+_SPACES = [b" ", b"\t", b"\n", b"\v", b"\f", b"\r"]
+_GAP = re.compile(rb"\s")
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -158,7 +161,7 @@ def _key(text: str, doc_id: str) -> Column:
 
 
 def _packed(texts: pa.Array) -> pa.Array:
-    tool = zstandard.ZstdCompressor(level=3)
+    tool = zstandard.ZstdCompressor(level=1)
     return pa.array([None if (t := x.as_py()) is None else tool.compress(t) for x in texts.cast(pa.binary())], pa.binary())
 
 
@@ -171,17 +174,20 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted run of chunks, and of what stands beside it."""
     names = ["key", "first", "last", "start", "end", "left", "body", "right"]
     for batch in batches:
-        rows: list[tuple] = []
-        texts = list(_unpacked(batch.column("packed")))
-        for key, text, wanted in zip(batch.column("key").to_pylist(), texts, batch.column("wanted").to_pylist()):
-            *_, starts, ends = chunks_of([text])
-            for w in wanted:
-                a, b = int(starts[w["first"]]), int(ends[w["last"]])
-                rows.append((key, w["first"], w["last"], a, b, text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
-            if len(rows) > 2000:
-                yield _batch(rows, names)
-                rows = []
-        yield _batch(rows, names)
+        keys = batch.column("key").to_pylist()
+        runs = batch.column("wanted").to_pylist()
+        for at, some in slices(list(_unpacked(batch.column("packed")))):
+            own, *_, starts, ends = chunks_of(some)
+            base = np.searchsorted(own, np.arange(len(some)))
+            rows: list[tuple] = []
+            for i, text in enumerate(some):
+                for w in runs[at + i]:
+                    a, b = int(starts[base[i] + w["first"]]), int(ends[base[i] + w["last"]])
+                    rows.append((keys[at + i], w["first"], w["last"], a, b, text[max(0, a - CONTEXT) : a], text[a:b], text[b : b + CONTEXT]))
+                    if len(rows) > 2000:
+                        yield _batch(rows, names)
+                        rows = []
+            yield _batch(rows, names)
 
 
 _PIECE = "key long, first int, last int, start int, end int, left binary, body binary, right binary"
@@ -211,10 +217,11 @@ def grown(left: bytes, right: bytes, other_left: bytes, other_right: bytes) -> t
     if n == CONTEXT or n < len(left) and not left[len(left) - n - 1 : len(left) - n].isspace():
         # The agreement begins inside a word: from the next space on.
         tail = left[len(left) - n :]
-        n = len(tail) - min((i for i in range(n) if tail[i : i + 1].isspace()), default=n)
+        gap = _GAP.search(tail)
+        n = n - gap.start() if gap else 0
     m = _common(right, other_right)
     if m == CONTEXT or 0 < m < len(right) and not right[m : m + 1].isspace():
-        m = max((i for i in range(m) if right[i : i + 1].isspace()), default=0)
+        m = max(0, *(right.rfind(space, 0, m) for space in _SPACES))
     return n, m
 
 
@@ -251,16 +258,16 @@ def without(text: bytes, spans: list[dict], least: int) -> tuple[bytes, int]:
 
 def repeated_runs(chunks: DataFrame) -> DataFrame:
     """(key, first, last, other, o_first): runs of chunks that stand in the text `other` as well."""
-    common = chunks.groupBy("hash").count().where("count > 1").select("hash")
-    found = stored(chunks.join(common, "hash"), "repeated-chunks")
-    home = found.groupBy("hash").agg(F.min("key").alias("other"), F.min_by("place", "key").alias("o_place"))
-    moved = found.join(home, "hash").where("key != other").withColumn("shift", F.col("o_place") - F.col("place"))
+    home = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("other"), F.min_by("place", "key").alias("o_place"))
+    # One row for each repeated hash; the chunks of a frequent one are not sorted to meet it.
+    home = home.where("n > 1").drop("n").hint("shuffle_hash")
+    moved = chunks.join(home, "hash").where("key != other").withColumn("shift", F.col("o_place") - F.col("place"))
     # Chunks side by side in both texts have one shift and places without a gap.
     side = Window.partitionBy("key", "other", "shift").orderBy("place")
     marked = moved.withColumn("island", F.col("place") - F.row_number().over(side))
-    marked = marked.withColumn("segment", F.floor((F.row_number().over(Window.partitionBy("key", "other", "shift", "island").orderBy("place")) - 1) / SEGMENT))
-    runs = marked.groupBy("key", "other", "shift", "island", "segment").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.sum("words").alias("words"))
-    runs = runs.where((F.col("words") >= LEAST_RUN) | (F.col("segment") > 0))
+    runs = marked.groupBy("key", "other", "shift", "island").agg(F.min("place").alias("from"), F.max("place").alias("to"), F.sum("words").alias("words"))
+    runs = runs.where(F.col("words") >= LEAST_RUN).withColumn("first", F.explode(F.sequence("from", "to", F.lit(SEGMENT))))
+    runs = runs.withColumn("last", F.least(F.col("first") + SEGMENT - 1, "to"))
     return runs.select("key", "first", "last", "other", (F.col("first") + F.col("shift")).alias("o_first"), (F.col("last") + F.col("shift")).alias("o_last"))
 
 
