@@ -13,6 +13,7 @@ from mailmill.llm.jaccard import near_duplicates
 from mailmill.llm.lines import dedup_lines
 from mailmill.llm import licences, ngrams
 from mailmill.llm.pii import find_pii, pii_digest
+from mailmill.llm.repair import damage, repair, repair_digest, with_untouched
 from mailmill.llm.tables import table
 from mailmill.llm.toxicity import held_out, score_toxicity, train_toxicity
 from mailmill.llm.urls import judge_urls
@@ -72,5 +73,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return with_untouched(repair_digest(repair(damage(conversations))), conversations)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_conversation_repair)}
 ORACLE: dict[str, str] = {"op3_license_scans": licences.oracle()}
