@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailmill.llm import burst
 from mailmill.llm.bpe import bpe_digest, round_trip
 from mailmill.llm.decontaminate import find_contaminated
 from mailmill.llm.fertility import judge_quality
@@ -14,7 +15,7 @@ from mailmill.llm.lines import dedup_lines
 from mailmill.llm import licences, ngrams
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.repair import damage, repair, repair_digest, with_untouched
-from mailmill.llm.tables import table
+from mailmill.llm.tables import stored, table
 from mailmill.llm.toxicity import held_out, score_toxicity, train_toxicity
 from mailmill.llm.urls import judge_urls
 
@@ -78,5 +79,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_untouched(repair_digest(repair(damage(conversations))), conversations)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_conversation_repair)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = stored(burst.rebuilt(burst.sequences(table(spark, sf_dir, "conversations"))), "rebuilt")
+    return burst.trie_digest(burst.build_trie(whole), whole)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_conversation_repair, op12_conversation_trie)}
 ORACLE: dict[str, str] = {"op3_license_scans": licences.oracle()}
