@@ -12,7 +12,7 @@ from mailmill.llm.decontaminate import find_contaminated
 from mailmill.llm.fertility import judge_quality
 from mailmill.llm.jaccard import near_duplicates
 from mailmill.llm.lines import dedup_lines
-from mailmill.llm import licences, ngrams
+from mailmill.llm import langcrf, licences, ngrams
 from mailmill.llm.pii import find_pii, pii_digest
 from mailmill.llm.repair import damage, repair, repair_digest, with_untouched
 from mailmill.llm.tables import stored, table
@@ -84,5 +84,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burst.trie_digest(burst.build_trie(whole), whole)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_conversation_repair, op12_conversation_trie)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langcrf.predict_languages(docs, langcrf.train_languages(docs))
+    return found.select("doc_id", langcrf.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_license_scans, op4_lm_scoring, op5_line_dedup, op6_url_filters, op7_decontamination, op8_toxicity, op9_quality_rules, op10_pii, op11_conversation_repair, op12_conversation_trie, op13_language_id)}
 ORACLE: dict[str, str] = {"op3_license_scans": licences.oracle()}
