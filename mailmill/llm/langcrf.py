@@ -117,8 +117,8 @@ class Field:
         return np.add.reduceat(self.groups[features], begins, axis=0) + self.shares_of(words) @ self.shares + self.bias
 
 
-def _softened(scores: np.ndarray) -> np.ndarray:
-    return np.exp(np.maximum(scores - scores.max(axis=-1, keepdims=True), -60))
+def _softened(scores: np.ndarray, axis: int | None = None) -> np.ndarray:
+    return np.exp(np.maximum(scores - scores.max(axis=axis, keepdims=True), -60))
 
 
 def _normal(x: np.ndarray, axes=-1) -> np.ndarray:
@@ -131,7 +131,7 @@ def label_shares(field: Field, scores: np.ndarray, ids: np.ndarray, lengths: np.
     Yields the text of each block, which of its places hold words, and their distributions.
     """
     k = len(field.labels)
-    each = np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -60, 0))
+    each = _softened(scores, axis=1)
     passing, start = _softened(field.passing), _softened(field.start)
     blocks = -(-lengths // BLOCK)
     text = np.repeat(np.arange(len(lengths)), blocks)
@@ -212,7 +212,7 @@ def train(windows: list[tuple[list[str], str]], lexicon: dict[str, list[float]],
             own = np.repeat(begins[used], counts[used]) + np.arange(counts[used].sum()) - np.repeat(np.cumsum(counts[used]) - counts[used], counts[used])
             groups = features[own]
             scores = np.add.reduceat(field.groups[groups], np.cumsum(counts[used]) - counts[used], axis=0) + shares[used] @ field.shares + field.bias
-            emitted = _softened(scores)[where]
+            emitted = _softened(scores, axis=1)[where]
             passing, start = _softened(field.passing), _softened(field.start)
             there, back = np.empty((*inside.shape, k)), np.empty((*inside.shape, k))
             now = _normal(start * emitted[:, 0])
