@@ -25,7 +25,7 @@ _HEADERS = ArrayType(
     StructType([StructField("name", _TEXT), StructField("value", _TEXT)])
 )
 # The JSON reader's own limits would turn a longer or deeper record into nulls.
-_NO_LIMITS = {"maxStringLen": "2147483647", "maxNestingDepth": "2147483647"}
+NO_LIMITS = {"maxStringLen": "2147483647", "maxNestingDepth": "2147483647"}
 _LEAVES = ArrayType(StructType([StructField("mime", _TEXT), StructField("data", _TEXT)]))
 
 
@@ -95,7 +95,7 @@ def _deep_leaves(payloads: pd.Series) -> pd.Series:
 
 
 def read_payload(payload: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    return F.from_json(payload, payload_schema(depth), _NO_LIMITS)
+    return F.from_json(payload, payload_schema(depth), NO_LIMITS)
 
 
 def text_parts(parsed: Column, payload: Column, depth: int = DEFAULT_DEPTH) -> Column:

@@ -14,34 +14,69 @@ from ..operators import actions as act
 from ..operators.evaluation import build_examples, evaluate_scorers
 from ..operators.ordering import most_recent, newest_first
 from ..operators.predicates import (
-    ANYWHERE, INBOX, UNREAD, UNREAD_PRIMARY, in_scope, require_columns, with_custom_label,
+    ANYWHERE, INBOX, UNREAD, UNREAD_PRIMARY, require_columns, with_custom_label,
 )
+from ..operators.reports import run_report
 from ..operators.sampling import VAL, stratified_sample
 from ..operators.scoring import Scorer, score_messages
-from ..schemas import ACTION, SAMPLE_COLUMNS, SCORED, extended
-from ..sources.landing import read_label_dim, read_raw
+from ..schemas import ACTION, RAW, REPORT, SAMPLE_COLUMNS, SCORED
+from ..sources.ingest import MessageStore
+from ..sources.landing import read_label_dim
+from ..sources.ledger import BUCKETS, Ledger
 from ..sources.tables import (
-    read_actions, read_through, write_actions, write_candidate_results, write_scored,
+    action_table, candidate_table, read_through, report_table, run_of, scored_table,
+    write_candidate_results, write_scored,
 )
 from .normalise import normalise_messages
 
 
 @dataclass(frozen=True)
 class Job:
-    """Where a run reads and writes, and for which day."""
+    """Where a run reads and writes, and for which day.
+
+    `ledger_buckets` splits the history of done actions; see `sources.ledger`.
+    """
 
     landing: str
     labels: str
     root: str
     day: date
     zone: str = DEFAULT_ZONE
+    ledger_buckets: int = BUCKETS
+
 
+def ingest(spark: SparkSession, job: Job) -> MessageStore:
+    """The store of the job with all that has come to the landing folder."""
+    store = MessageStore(spark, job.root)
+    store.ingest(job.landing, job.day)
+    return store
 
-def _newest_raw(raw: DataFrame, max_messages: int | None) -> DataFrame:
-    if max_messages is None:
-        return raw
-    dated = raw.withColumn("_ts", F.timestamp_millis(F.col("internalDate").try_cast("bigint")))
-    return most_recent(dated, max_messages, "_ts").drop("_ts")
+
+def _newest_raw(store: MessageStore, scope: str, max_messages: int | None) -> DataFrame:
+    rows = store.messages(scope)
+    newest = rows if max_messages is None else most_recent(rows, max_messages)
+    return newest.select(*RAW.names)
+
+
+def act_on(
+    spark: SparkSession, job: Job, scored: DataFrame, run_id: str, connect: Callable[[], act.AddLabel] | None
+) -> DataFrame:
+    """Plans and carries out what no run has done yet; gives the actions of this run.
+
+    A run that is repeated keeps what it did before and does the rest.
+    """
+    labels, table = read_label_dim(spark, job.labels), action_table(job.root)
+    done = (act.PENDING, act.APPLIED)
+    ledger = Ledger(spark, f"{job.root}/done_actions", job.ledger_buckets).take_in(table, done)
+    own = table.read(spark, run_id=run_id).where(F.col("outcome").isin(*done)).select(*ACTION.names)
+    planned = act.plan_actions(scored, labels)
+    fresh = ledger.without_done(planned.where(F.col("outcome") == act.PENDING)).select(*ACTION.names)
+    skipped = planned.where(F.col("outcome") == act.SKIPPED).join(own.select("id"), "id", "left_anti")
+    due = skipped.select(*ACTION.names).unionByName(fresh)
+    if connect is not None:
+        due = act.apply_actions(due, connect)
+    table.publish(own.unionByName(due), run_id=run_id)
+    return table.read(spark, run_id=run_id).select(*ACTION.names)
 
 
 def _tag(
@@ -51,27 +86,23 @@ def _tag(
     labels = read_label_dim(spark, job.labels)
 
     def build() -> DataFrame:
-        raw = in_scope(read_raw(spark, job.landing), scope, ids="labelIds")
-        return normalise_messages(_newest_raw(raw, max_messages), labels, job.zone)
+        return normalise_messages(_newest_raw(ingest(spark, job), scope, max_messages), labels, job.zone)
 
     messages = read_through(spark, job.root, scope, job.day, build, max_messages, reuse)
-    write_scored(score_messages(messages, scorer), job.root, scope, job.day)
-    # By the root of the table: a day without mail in scope has no folder.
-    kept = spark.read.schema(extended(SCORED, scope="string", run_date="string")).parquet(f"{job.root}/scored")
-    this_run = (F.col("scope") == scope) & (F.col("run_date") == job.day.strftime("%d%b%Y"))
-    scored = kept.where(this_run).select(*SCORED.names)
-    if not dry_run:
-        planned = act.plan_actions(scored, labels)
-        # This run's own partition is about to be replaced, so it is no history.
-        run_id = f"{scope}-{job.day.isoformat()}"
-        history = read_actions(spark, job.root, extended(ACTION, run_id="string"))
-        fresh = act.new_actions(planned, history.where(F.col("run_id") != run_id))
-        due = planned.where(F.col("outcome") == act.SKIPPED).unionByName(fresh)
-        done = due if connect is None else act.apply_actions(due, connect)
-        write_actions(done, job.root, run_id)
+    write_scored(score_messages(messages, scorer), job.root, scope, job.day, max_messages)
+    run = run_of(scope, job.day, max_messages)
+    scored = scored_table(job.root).read(spark, **run).select(*SCORED.names)
+    run_id = f"{scope}-{run['cap']}-{job.day.isoformat()}"
+    actions = None if dry_run else act_on(spark, job, scored, run_id, connect)
+    report_table(job.root).publish(run_report(scored, labels, actions), **run)
     return scored
 
 
+def read_report(spark: SparkSession, job: Job, scope: str, max_messages: int | None = None) -> DataFrame:
+    """What a run told: sections in order, lines in order."""
+    return report_table(job.root).read(spark, **run_of(scope, job.day, max_messages)).select(*REPORT.names)
+
+
 def daily_run(
     spark: SparkSession, job: Job, scorer: Scorer, all_tabs: bool = False,
     max_messages: int | None = None, cache: bool = False, dry_run: bool = False,
@@ -98,8 +129,8 @@ def labelled_set(
     The label test comes before the bodies are read.
     """
     labels = read_label_dim(spark, job.labels)
-    raw = in_scope(read_raw(spark, job.landing), ANYWHERE if anywhere else INBOX, ids="labelIds")
-    chosen = with_custom_label(_newest_raw(raw, max_messages), labels, ids="labelIds")
+    newest = _newest_raw(ingest(spark, job), ANYWHERE if anywhere else INBOX, max_messages)
+    chosen = with_custom_label(newest, labels, ids="labelIds")
     return newest_first(normalise_messages(chosen, labels, job.zone))
 
 
@@ -114,5 +145,4 @@ def evaluate(
     """Accuracy of every candidate on the validation rows, kept under `run_id`."""
     val = build_examples(sample, truth).where(F.col("split") == VAL)
     write_candidate_results(evaluate_scorers(val, scorers), root, run_id)
-    kept = sample.sparkSession.read.parquet(f"{root}/candidate_results")
-    return kept.where(F.col("run_id") == run_id)
+    return candidate_table(root).read(sample.sparkSession, run_id=run_id)

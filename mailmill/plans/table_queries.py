@@ -437,8 +437,7 @@ def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = _candidate_results(spark, sf_dir)
     for run_id in ("first", "second", "second"):
         tables.write_candidate_results(results, root, run_id)
-    kept = spark.read.parquet(f"{root}/candidate_results")
-    return kept.select(F.col("run_id").cast("string").alias("run_id"), "candidate_id", "n", "n_correct")
+    return tables.candidate_table(root).read(spark).select("run_id", "candidate_id", "n", "n_correct")
 
 
 # Actions

@@ -2,6 +2,7 @@
 
 from pyspark.sql.types import (
     ArrayType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -46,7 +47,6 @@ CATEGORY_DIM = StructType(
 )
 
 SAMPLE_COLUMNS = ("id", "date", "from", "subject", "body_text", "category", "reason")
-SAMPLE = StructType(_strings(*SAMPLE_COLUMNS))
 TRUTH = StructType(_strings("id", "main_label", "reason"))
 EXAMPLE = StructType(_strings("id", "subject", "body_text", "category", "split"))
 ACTION = StructType(_strings("id", "category", "label_id", "outcome", "skip_reason", "error"))
@@ -55,14 +55,15 @@ ACTION = StructType(_strings("id", "category", "label_id", "outcome", "skip_reas
 MESSAGE_CSV = StructType(_strings("id", "date", "from", "subject", "body_text", "labels"))
 SCORED_CSV = StructType(MESSAGE_CSV.fields + _strings("category", "reason"))
 
-MANIFEST = StructType(
-    _strings("scope", "run_date")
-    + [StructField("max_messages", LongType()), StructField("row_count", LongType())]
+# What a run tells: one row for each line of each section.
+REPORT = StructType(
+    _strings("section") + [StructField("position", IntegerType())] + _strings("name")
+    + [StructField("n", LongType()), StructField("share_pct", DoubleType())] + _strings("detail")
 )
 CANDIDATE_RESULT = StructType(
-    _strings("run_id", "candidate_id", "settings")
+    _strings("candidate_id")
     + [StructField("n", LongType()), StructField("n_correct", LongType())]
-    + _strings("accuracy_pct", "role")
+    + [StructField("accuracy_pct", DoubleType())]
 )
 
 

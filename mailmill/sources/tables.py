@@ -1,7 +1,9 @@
-"""Parquet tables: the raw cache, scored messages, actions, candidate results.
+"""The tables a run writes: the raw cache, scored messages, actions, reports, candidate results.
 
-Every writer replaces exactly the partitions it writes, so a run or a batch
-that is repeated leaves one copy.
+All are published in versions (`sources.published`): a run or a batch that is repeated
+replaces its own rows by one commit, also by none, and one that stops leaves the rows of
+before. The partitions of a run are named by scope, date and cap, so that runs of other
+caps keep theirs.
 """
 
 from __future__ import annotations
@@ -9,12 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.times import day_stamp
-from ..schemas import MANIFEST, MESSAGE, extended
+from ..schemas import ACTION, CANDIDATE_RESULT, EXAMPLE, MESSAGE, REPORT, SCORED
+from .published import PublishedTable
+
+RUN = ("scope", "run_date", "cap")
 
 
 def run_stamp(day: date):
@@ -22,33 +27,43 @@ def run_stamp(day: date):
     return day_stamp(F.lit(day))
 
 
-def overwrite_partitions(df: DataFrame, path: str, *keys: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
-
-
 def _cap_name(max_messages: int | None) -> str:
     return "all" if max_messages is None else str(max_messages)
 
 
+def run_of(scope: str, day: date, max_messages: int | None = None) -> dict[str, str]:
+    """The partition of a run."""
+    return {"scope": scope, "run_date": day.strftime("%d%b%Y"), "cap": _cap_name(max_messages)}
+
+
+def raw_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/messages", MESSAGE, RUN)
+
+
+def scored_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/scored", SCORED, RUN)
+
+
+def action_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/label_actions", ACTION, ("run_id",))
+
+
+def report_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/reports", REPORT, RUN)
+
+
+def example_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/examples", EXAMPLE, ("run_id",))
+
+
+def candidate_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/candidate_results", CANDIDATE_RESULT, ("run_id",))
+
+
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Finished raw partitions with their row counts; no rows before the first run."""
-    try:
-        found = spark.read.parquet(f"{root}/manifest")
-    except AnalysisException as fault:
-        if fault.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], MANIFEST)
-    return found.select(
-        F.col("scope").cast("string"),
-        F.col("run_date").cast("string"),
-        F.col("cap").try_cast("bigint").alias("max_messages"),
-        "row_count",
-    )
+    return raw_table(root).valid(spark).select(
+        "scope", "run_date", F.col("cap").try_cast("bigint").alias("max_messages"), "row_count")
 
 
 def read_through(
@@ -60,49 +75,26 @@ def read_through(
     max_messages: int | None = None,
     reuse: bool = True,
 ) -> DataFrame:
-    """The raw table of a scope, day and cap: as stored, or built and stored.
-
-    A partition counts as stored once its manifest row exists, which is written
-    after it; half a partition is never reused.
-    """
-    stamp = day.strftime("%d%b%Y")
-    cap = _cap_name(max_messages)
-    mine = (F.col("scope") == scope) & (F.col("run_date") == stamp)
-    same_cap = F.col("max_messages").eqNullSafe(F.lit(max_messages).cast("bigint"))
-    stored = reuse and not read_manifest(spark, root).where(mine & same_cap).isEmpty()
-    keys = {"scope": F.lit(scope), "run_date": run_stamp(day), "cap": F.lit(cap)}
-    if not stored:
-        counted = Observation()
-        rows = build().observe(counted, F.count(F.lit(1)).alias("row_count"))
-        overwrite_partitions(rows.withColumns(keys), f"{root}/messages", *keys)
-        entry = spark.createDataFrame([(counted.get["row_count"],)], "row_count long")
-        overwrite_partitions(entry.withColumns(keys), f"{root}/manifest", *keys)
-    schema = extended(MESSAGE, scope="string", run_date="string", cap="string")
-    rows = spark.read.schema(schema).parquet(f"{root}/messages")
-    return rows.where(mine & (F.col("cap") == cap)).select(*MESSAGE.names)
-
-
-def write_scored(scored: DataFrame, root: str, scope: str, day: date) -> None:
+    """The raw table of a scope, day and cap: as published, or built and published."""
+    table, run = raw_table(root), run_of(scope, day, max_messages)
+    if not (reuse and table.is_published(spark, **run)):
+        table.publish(build(), **run)
+    return table.read(spark, **run).select(*MESSAGE.names)
+
+
+def write_scored(scored: DataFrame, root: str, scope: str, day: date, max_messages: int | None = None) -> None:
     """Scored messages of a run, apart from the raw ones they came from."""
-    rows = scored.withColumns({"scope": F.lit(scope), "run_date": run_stamp(day)})
-    overwrite_partitions(rows, f"{root}/scored", "scope", "run_date")
+    scored_table(root).publish(scored, **run_of(scope, day, max_messages))
 
 
 def write_actions(actions: DataFrame, root: str, run_id: str) -> None:
-    rows = actions.withColumn("run_id", F.lit(run_id))
-    overwrite_partitions(rows, f"{root}/label_actions", "run_id")
+    action_table(root).publish(actions, run_id=run_id)
 
 
-def read_actions(spark: SparkSession, root: str, schema) -> DataFrame:
-    """All earlier actions; none before the first run."""
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/label_actions")
-    except AnalysisException as fault:
-        if fault.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def read_actions(spark: SparkSession, root: str, schema: StructType = ACTION) -> DataFrame:
+    """The actions of all runs, as last published; none before the first run."""
+    return action_table(root).read(spark).select(*schema.names)
 
 
 def write_candidate_results(results: DataFrame, root: str, run_id: str) -> None:
-    rows = results.withColumn("run_id", F.lit(run_id))
-    overwrite_partitions(rows, f"{root}/candidate_results", "run_id")
+    candidate_table(root).publish(results, run_id=run_id)

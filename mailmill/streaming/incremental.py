@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.times import DEFAULT_ZONE
-from ..operators.actions import PENDING, plan_actions
+from ..operators import actions as act
+from ..operators.bounded import small_rows
 from ..operators.predicates import UNREAD, in_scope
 from ..operators.scoring import Scorer, score_messages
 from ..plans.normalise import normalise_messages
-from ..schemas import ACTION, SCORED, extended
+from ..schemas import ACTION, SCORED
 from ..sources.landing import ARRIVED, stream_raw
-from ..sources.tables import overwrite_partitions
+from ..sources.ledger import BUCKETS, Ledger
+from ..sources.published import PublishedTable
+
+LIFETIME = "30 days"
+"""How long an id stays in the state of the stream. The ledger of seen ids holds it for good."""
+
+_BATCH = ("stream_id", "batch_id")
+_DONE = (act.PENDING, act.APPLIED)
 
 
-def once_per_id(raw: DataFrame, within: str | None = None) -> DataFrame:
-    """Each message once.
+def once_per_id(raw: DataFrame, within: str | None = LIFETIME) -> DataFrame:
+    """Each message once, as far back as the state reaches.
 
-    Without a bound every id ever seen stays in the state store. With `within`
-    an id is forgotten that long after it came, and a copy that comes later
-    passes again. What counts is when the file came, not when the message was
-    sent: an old message in a new file must not be taken for a late one.
+    An id is forgotten `within` after it came; a copy that comes later passes.
+    Without a bound every id ever seen stays in the state store. What counts is when
+    the file came, not when the message was sent: an old message in a new file must
+    not be taken for a late one.
     """
     if within is None:
         return raw.dropDuplicates(["id"])
     return raw.withWatermark(ARRIVED, within).dropDuplicatesWithinWatermark(["id"])
 
 
+def stream_table(path: str, schema: StructType) -> PublishedTable:
+    """A table written by streams, one partition for each batch of each."""
+    return PublishedTable(path, schema, _BATCH)
+
+
 def start_incremental(
     spark: SparkSession,
     landing: str,
@@ -38,28 +54,42 @@ def start_incremental(
     checkpoint: str,
     scope: str = UNREAD,
     zone: str = DEFAULT_ZONE,
-    within: str | None = None,
+    within: str | None = LIFETIME,
     files_per_batch: int | None = None,
     dry_run: bool = False,
+    connect: Callable[[], act.AddLabel] | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Normalise, score and plan actions for the files that came since the checkpoint, then stop.
+    """Normalise, score and act on the files that came since the checkpoint, then stop.
 
-    Output is partitioned by batch, and a batch run again after a failure
-    replaces its own partitions. `checkpoint` and `root` must lie in storage
-    that outlives the executors.
+    Each batch of each stream is published once; a batch run again after a failure
+    goes on where it stopped. A new checkpoint is a new stream, whose batches stand
+    beside those of the old one. What the state has forgotten the ledgers know: a
+    message that any batch published is not published again, an action that was done
+    is not done again. `checkpoint` and `root` must lie in storage that outlives the
+    executors.
     """
+    scored, actions = stream_table(f"{root}/scored", SCORED), stream_table(f"{root}/label_actions", ACTION)
+    # Read once for all batches where it is small.
+    known = small_rows(label_dim)
+    labels = label_dim if known is None else spark.createDataFrame(known, label_dim.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Written first and read back, so that the scorer runs once for both tables.
-        mine = F.lit(batch_id).cast("bigint")
-        messages = normalise_messages(batch, label_dim, zone)
-        scored = score_messages(messages, scorer).withColumn("batch_id", mine)
-        overwrite_partitions(scored, f"{root}/scored", "batch_id")
-        if dry_run:
+        session = batch.sparkSession
+        # The id of a stream lies in its checkpoint.
+        stream_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        mine = {"stream_id": stream_id, "batch_id": str(batch_id)}
+        if not scored.is_published(session, **mine):
+            seen = Ledger(session, f"{root}/seen_ids", buckets, keys=("id",)).take_in(scored)
+            messages = normalise_messages(seen.without_done(batch), labels, zone)
+            scored.publish(score_messages(messages, scorer), **mine)
+        if dry_run or actions.is_published(session, **mine):
             return
-        stored = read_stream_table(batch.sparkSession, f"{root}/scored", SCORED)
-        actions = plan_actions(stored.where(F.col("batch_id") == mine), label_dim)
-        overwrite_partitions(actions.withColumn("batch_id", mine), f"{root}/label_actions", "batch_id")
+        done = Ledger(session, f"{root}/done_actions", buckets).take_in(actions, _DONE)
+        planned = act.plan_actions(scored.read(session, **mine), labels)
+        fresh = done.without_done(planned.where(F.col("outcome") == act.PENDING)).select(*ACTION.names)
+        due = planned.where(F.col("outcome") == act.SKIPPED).select(*ACTION.names).unionByName(fresh)
+        actions.publish(due if connect is None else act.apply_actions(due, connect), **mine)
 
     # The scope comes first: a message read when it first came and unread now is
     # new to the scope, and ids outside it never enter the state.
@@ -73,12 +103,12 @@ def start_incremental(
     )
 
 
-def read_stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table written per batch. Empty batches leave no partition, so the schema is given."""
-    return spark.read.schema(extended(schema, batch_id="long")).parquet(path)
+def read_stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What the streams published, with stream and batch of each row."""
+    return stream_table(path, schema).read(spark)
 
 
 def pending_actions(spark: SparkSession, root: str) -> DataFrame:
     return read_stream_table(spark, f"{root}/label_actions", ACTION).where(
-        F.col("outcome") == PENDING
+        F.col("outcome") == act.PENDING
     )

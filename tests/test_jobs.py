@@ -2,6 +2,7 @@
 
 import base64
 import json
+from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
@@ -54,7 +55,7 @@ def job(tmp_path):
     deliver(tmp_path / "landing", "one.json", RECORDS)
     dim = [{"label_id": i, "label_name": n, "scan_order": k} for k, (i, n) in enumerate(LABELS)]
     deliver(tmp_path / "labels", "labels.json", dim)
-    return jobs.Job(f"{tmp_path}/landing", f"{tmp_path}/labels", f"{tmp_path}/root", DAY)
+    return jobs.Job(f"{tmp_path}/landing", f"{tmp_path}/labels", f"{tmp_path}/root", DAY, ledger_buckets=4)
 
 
 def rows(df, *columns):
@@ -97,7 +98,7 @@ def test_daily_run_and_its_repeats(spark, job):
     jobs.daily_run(spark, job, RULES, connect=connect)
     assert rows(tables.read_actions(spark, job.root, ACTION), "id", "outcome") == want
     # The next day the mail is still unread; nothing is applied twice.
-    later = jobs.Job(job.landing, job.labels, job.root, DAY + timedelta(days=1))
+    later = replace(job, day=DAY + timedelta(days=1))
     jobs.daily_run(spark, later, RULES, all_tabs=True, connect=connect)
     again = tables.read_actions(spark, job.root, ACTION)
     assert again.where("outcome = 'applied'").count() == 2
@@ -157,9 +158,9 @@ def test_half_a_partition_is_not_reused(spark, tmp_path):
     def fetch():
         return spark.createDataFrame([("1", "", None, "", "", "", [])], MESSAGE)
 
-    tables.overwrite_partitions(
-        fetch().withColumns({"scope": F.lit("s"), "run_date": F.lit("19Mar2026"), "cap": F.lit("all")}),
-        f"{tmp_path}/messages", "scope", "run_date", "cap")
+    run = tables.run_of("s", DAY)
+    names = {**{k: F.lit(v) for k, v in run.items()}, "version": F.lit("stopped")}
+    fetch().withColumns(names).write.partitionBy(*names).parquet(f"{tmp_path}/messages/data")
     calls = []
     tables.read_through(spark, str(tmp_path), "s", DAY, lambda: calls.append(1) or fetch())
     got = tables.read_through(spark, str(tmp_path), "s", DAY, lambda: calls.append(1) or fetch())
@@ -188,10 +189,10 @@ def test_work_dir_follows_the_session():
 # Stream
 
 
-def run_stream(spark, job, **options):
+def run_stream(spark, job, checkpoint=None, **options):
     dim = spark.createDataFrame([(i, n, k) for k, (i, n) in enumerate(LABELS)], LABEL_DIM)
     query = incremental.start_incremental(
-        spark, job.landing, dim, RULES, job.root, f"{job.root}/checkpoint", **options)
+        spark, job.landing, dim, RULES, job.root, checkpoint or f"{job.root}/checkpoint", buckets=4, **options)
     query.awaitTermination()
     return query
 
@@ -218,7 +219,7 @@ def test_stream_equals_batch(spark, job):
     from mailmill.schemas import SCORED
 
     streamed = incremental.read_stream_table(spark, f"{job.root}/scored", SCORED)
-    batch_job = jobs.Job(job.landing, job.labels, f"{job.root}/batch", DAY)
+    batch_job = replace(job, root=f"{job.root}/batch")
     batch = jobs.daily_run(spark, batch_job, RULES, all_tabs=True, dry_run=True)
     columns = ("id", "date", "from", "subject", "body_text", "labels", "category", "reason")
     assert rows(streamed, *columns) == rows(batch, *columns)
