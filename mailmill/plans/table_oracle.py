@@ -389,6 +389,53 @@ ORACLE = {
              case when outcome = 'skipped' then outcome when id like '%7' then 'error' else 'applied' end as outcome,
              case when outcome = 'pending' and id like '%7' then 'PermissionError: read only' end as error
       from actions"""),
+    "ledger_actions": _with(MAIL, LABEL_DIM, ACTIONS, then="""
+      select a.id, a.category, a.label_id from actions a join mail m on a.id = m.id
+      where a.outcome = 'pending' and coalesce(m.quality, 0) <> 1"""),
+    "rerun_actions": _with(MAIL, LABEL_DIM, ACTIONS, then="""
+      select 'inbox-all' as run_id, id, category, outcome, skip_reason from actions where outcome <> 'skipped'
+      union all select 'inbox-100', id, category, outcome, skip_reason from actions where outcome = 'skipped'"""),
+    "scored_table": _with(MAIL, _rule_scores(TABLE_RULES), """
+      unread as (select *, row_number() over (order by internal_ts desc, id) as place
+                 from scores where is_inbox and is_unread)""", then="""
+      select 'unread' as scope, '19Mar2026' as run_date, cap, id, subject, new_category as category, new_reason as reason
+      from unread, (values ('all', 1000000000), ('50', 50)) c(cap, most) where place <= most"""),
+    "run_report": _with(
+        MAIL, LABEL_DIM, ACTIONS,
+        "ranks(rank, category) as (values "
+        + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES, 1)) + ")",
+        """
+      present as (
+        select rank, r.category, l.label_id, count(l.label_id) over () || '/' || count(*) over () as covered
+        from ranks r left join category_label l on r.category = l.category),
+      sizes as (select category, count(*) as n from mail where category is not null group by 1),
+      results as (
+        select id, case when outcome = 'skipped' then outcome when id like '%7' then 'error' else 'applied' end as outcome,
+               skip_reason, category from actions),
+      outcomes as (select outcome, skip_reason, count(*) as n from results group by 1, 2),
+      faults as (select id, row_number() over (order by id, category) as place from results where outcome = 'error')""",
+        then="""
+      select 'labels' as section, rank as position, category as name, cast(label_id is not null as bigint) as n,
+             null::double as share_pct, covered as detail from present
+      union all select 'stages', 1, 'fetched', count(*), null, null from mail
+      union all select 'stages', 2, 'classified', count(category), null, null from mail
+      union all select 'stages', 3, 'failed', count(*) - count(category), null, null from mail
+      union all select 'categories', row_number() over (order by n desc, category), category, n,
+             100.0::double * n / sum(n) over (), repeat('█', cast(ceil(n * 60::double / max(n) over ()) as bigint)) from sizes
+      union all select 'actions', row_number() over (order by outcome, skip_reason nulls first), outcome, n,
+             100.0::double * n / sum(n) over (), skip_reason from outcomes
+      union all select 'errors', place, id, null, null, 'PermissionError: read only' from faults where place <= 5"""),
+    "landing_messages": _with(MAIL, then="""
+      select 'message' as kind, id, strftime(internal_ts, '%Y-%m-%d %H:%M:%S') as sent,
+             cast(is_inbox as int) as is_inbox, cast(is_unread as int) as is_unread, cast(is_primary as int) as is_primary,
+             null as reject_reason, 0 as has_line
+      from mail where coalesce(toxic, 0) <> 1 and doc_id % 10 <> 3
+      union all
+      select 'reject', null, null, null, null, null,
+             case when toxic = 1 then 'not a JSON object of the schema' else 'no id' end, 1
+      from mail where toxic = 1 or doc_id % 10 = 3"""),
+    "ingested_scope": _with(MAIL, then="""
+      select id, date, sender, subject from mail where not reviewed or (is_inbox and is_unread)"""),
     "csv_round_trip": _with(MAIL, then=f"""
       select id, date, sender, subject, body_text, {_ID_TEXT} as labels, category, reason from mail"""),
     "bronze_cache": _with(MAIL, then=f"""

@@ -17,16 +17,20 @@ from ..functions.times import day_stamp, local_iso, utc_moment
 from ..operators import actions as act
 from ..operators import aggregates as agg
 from ..operators import evaluation as ev
-from ..operators import label_sets, lookups, ordering, sampling, scoring
+from ..operators import label_sets, lookups, ordering, reports, sampling, scoring
 from ..operators import predicates as pred
-from ..schemas import ACTION, SAMPLE_COLUMNS, SCORED_CSV
+from ..schemas import ACTION, REPORT, SAMPLE_COLUMNS, SCORED_CSV
 from ..session import work_dir
 from ..sources import csv_files, tables
+from ..sources.ingest import MessageStore
+from ..sources.ledger import Ledger
+from ..sources.published import VERSION
 from ..streaming import incremental
 from . import table_views as views
 from .normalise import normalise_messages
 
 DAY = date(2026, 3, 19)
+_BUCKETS = 8
 
 
 def _joined(labels) -> Column:
@@ -481,9 +485,107 @@ def applied_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_actions(spark, root, ACTION).select("id", "category", "outcome", "error")
 
 
+def ledger_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as `new_actions`, from published actions and the ledger made of them."""
+    root = work_dir(spark, "ledger")
+    reviewed = views.mail(spark, sf_dir).where(F.col("quality").isNotNull())
+    outcome = F.when(F.col("quality") == 1, act.APPLIED).otherwise(act.ERROR)
+    none = F.lit(None).cast("string")
+    earlier = reviewed.select(
+        "id", "category", none.alias("label_id"), outcome.alias("outcome"), none.alias("skip_reason"), none.alias("error"))
+    table = tables.action_table(root)
+    # Two runs of which one is empty.
+    table.publish(earlier, run_id="first")
+    table.publish(earlier.limit(0), run_id="second")
+    done = Ledger(spark, f"{root}/done_actions", _BUCKETS).take_in(table, (act.PENDING, act.APPLIED))
+    due = _actions(spark, sf_dir).where(F.col("outcome") == act.PENDING)
+    return done.without_done(due).select("id", "category", "label_id")
+
+
+def rerun_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs repeated with other rows or none, one that stopped before its commit, two caps of a day."""
+    root = work_dir(spark, "reruns")
+    table, actions = tables.action_table(root), _actions(spark, sf_dir)
+    skipped = F.col("outcome") == act.SKIPPED
+    for run_id, rows in (
+        ("inbox-all", actions), ("inbox-100", actions.where(skipped)), ("emptied", actions),
+        ("inbox-all", actions.where(~skipped)), ("emptied", actions.limit(0)),
+    ):
+        table.publish(rows, run_id=run_id)
+    stopped = {"run_id": F.lit("inbox-all"), VERSION: F.lit("stopped")}
+    actions.withColumns(stopped).write.mode("append").partitionBy(*stopped).parquet(f"{table.path}/data")
+    return table.read(spark).select("run_id", "id", "category", "outcome", "skip_reason")
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored mail of two caps of one day, the larger one scored twice, read by scope and date."""
+    root = work_dir(spark, "scored")
+    unread = _fetch(spark, sf_dir)
+    for rules, cap in ((TABLE_RULES[:1], None), (TABLE_RULES, 50), (TABLE_RULES, None)):
+        scored = scoring.score_messages(ordering.most_recent(unread, cap), scoring.RuleScorer(rules))
+        tables.write_scored(scored, root, pred.UNREAD, DAY, cap)
+    kept = tables.scored_table(root).read(spark, scope=pred.UNREAD, run_date="19Mar2026")
+    return kept.select("scope", "run_date", "cap", "id", "subject", "category", "reason")
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = act.apply_actions(_actions(spark, sf_dir), _mailbox)
+    root = work_dir(spark, "report")
+    tables.write_actions(done, root, "run")
+    kept = tables.read_actions(spark, root)
+    told = reports.run_report(views.scored(spark, sf_dir), views.label_dim(spark, sf_dir), kept)
+    tables.report_table(root).publish(told, **tables.run_of(pred.INBOX, DAY))
+    return tables.report_table(root).read(spark).select(*REPORT.names)
+
+
 # Files, tables, streams
 
 
+def _records(raw: DataFrame) -> DataFrame:
+    """Landing lines, which carry the payload as an object, not as text."""
+    line = F.concat(
+        F.lit('{"id":'), _quoted("id"), F.lit(',"labelIds":'), F.to_json("labelIds"),
+        F.lit(',"internalDate":'), _quoted("internalDate"), F.lit(',"payload":'), "payload", F.lit("}"),
+    )
+    return raw.select("id", line.alias("value"))
+
+
+def landing_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries, some lines of them cut short, some without an id, taken into the store."""
+    root = work_dir(spark, "landing")
+    toxic = views.mail(spark, sf_dir).where(F.col("toxic") == 1).select("id", F.lit(True).alias("cut"))
+    lines = _records(views.raw(spark, sf_dir)).join(toxic, "id", "left")
+    number = F.col("id").cast("long")
+    value = (
+        F.when(F.col("cut"), F.left("value", F.length("value") - 1))
+        .when(number % 10 == 3, F.replace("value", F.lit('{"id":'), F.lit('{"uid":')))
+        .otherwise(F.col("value"))
+    )
+    store = MessageStore(spark, root)
+    for part in (0, 1):
+        lines.where(number % 2 == part).select(value.alias("value")).write.mode("append").text(f"{root}/landing")
+        store.ingest(f"{root}/landing", DAY)
+    kept = store.rows.read(spark)
+    flags = [F.col(f).cast("int").alias(f) for f in ("is_inbox", "is_unread", "is_primary")]
+    return kept.select(
+        "kind", "id", F.col("internal_ts").cast("string").alias("sent"), *flags, "reject_reason",
+        (F.col("line").isNotNull()).cast("int").alias("has_line"))
+
+
+def ingested_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unread mail of the store, where a later copy says what was read."""
+    root = work_dir(spark, "ingested")
+    raw = views.raw(spark, sf_dir)
+    unread = raw.withColumn("labelIds", F.array(F.lit("INBOX"), F.lit("UNREAD")))
+    reviewed = views.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    store = MessageStore(spark, root)
+    for delivery in (unread, raw.join(reviewed, "id", "left_semi")):
+        _records(delivery).select("value").write.mode("append").text(f"{root}/landing")
+        store.ingest(f"{root}/landing", DAY)
+    rows = normalise_messages(store.raw(pred.UNREAD), views.label_dim(spark, sf_dir))
+    return rows.select("id", "date", F.col("from").alias("sender"), "subject")
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored mail to CSV and back, with line breaks and quotes inside cells."""
     path = f"{work_dir(spark, 'csv')}/scored"
@@ -531,23 +633,23 @@ def _scope_messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def incremental_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw records as a stream, in two deliveries of which the second repeats the first."""
+    """Raw records as a stream, in two deliveries of which the second repeats the first.
+
+    Ids leave the state of the stream after a second, so it is the ledger that knows the repeats.
+    """
     root = work_dir(spark, "stream")
     raw = views.raw(spark, sf_dir)
     labels = views.label_dim(spark, sf_dir)
     scorer = scoring.RuleScorer((("ADS", ("und", "der")), ("BANK_STATEMENTS", ("pour", "dans"))))
-    # Landing files carry the payload as an object, not as text.
-    records = raw.select(F.concat(
-        F.lit('{"id":'), _quoted("id"), F.lit(',"labelIds":'), F.to_json("labelIds"),
-        F.lit(',"internalDate":'), _quoted("internalDate"), F.lit(',"payload":'), "payload", F.lit("}"),
-    ).alias("value"), "id")
+    records = _records(raw)
     old = records.join(
         views.mail(spark, sf_dir).where(F.col("n_chars") < 2000).select("id"), "id", "left_semi"
     )
     for delivery in (old, records):
         delivery.select("value").write.mode("append").text(f"{root}/landing")
         incremental.start_incremental(
-            spark, f"{root}/landing", labels, scorer, root, f"{root}/checkpoint"
+            spark, f"{root}/landing", labels, scorer, root, f"{root}/checkpoint", within="1 second",
+            buckets=_BUCKETS,
         ).awaitTermination()
     actions = incremental.read_stream_table(spark, f"{root}/label_actions", ACTION)
     return actions.select("id", "category", "label_id", "outcome", "skip_reason")
@@ -619,6 +721,12 @@ QUERIES = {
     "action_summary": action_summary,
     "new_actions": new_actions,
     "applied_actions": applied_actions,
+    "ledger_actions": ledger_actions,
+    "rerun_actions": rerun_actions,
+    "scored_table": scored_table,
+    "run_report": run_report,
+    "landing_messages": landing_messages,
+    "ingested_scope": ingested_scope,
     "csv_round_trip": csv_round_trip,
     "bronze_cache": bronze_cache,
     "run_manifest": run_manifest,

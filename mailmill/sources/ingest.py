@@ -98,7 +98,7 @@ class MessageStore:
         flags = scope_flags(F.col("labelIds"))
         rows = raw.select(
             *[F.when(reason.isNull(), F.col(c)).alias(c) for c in RAW.names],
-            F.timestamp_millis(epoch_millis(F.col("internalDate"))).alias("internal_ts"),
+            F.when(reason.isNull(), F.timestamp_millis(epoch_millis(F.col("internalDate")))).alias("internal_ts"),
             *[F.when(reason.isNull(), test).alias(name) for name, test in flags.items()],
             "arrived", F.col("uri").alias("file"),
             F.monotonically_increasing_id().alias("row"), reason.alias("reject_reason"),

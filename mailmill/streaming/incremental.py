@@ -79,7 +79,10 @@ def start_incremental(
         # The id of a stream lies in its checkpoint.
         stream_id = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         mine = {"stream_id": stream_id, "batch_id": str(batch_id)}
-        if not scored.is_published(session, **mine):
+        if scored.is_published(session, **mine):
+            # The state of the stream is only kept for a batch that was read to its end.
+            batch.write.format("noop").mode("overwrite").save()
+        else:
             seen = Ledger(session, f"{root}/seen_ids", buckets, keys=("id",)).take_in(scored)
             messages = normalise_messages(seen.without_done(batch), labels, zone)
             scored.publish(score_messages(messages, scorer), **mine)
