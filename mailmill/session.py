@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A batch without new files would only clear the state a little earlier.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     # Ids seen by a stream are kept on disk, not in the heap of the executors.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

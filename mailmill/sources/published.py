@@ -74,13 +74,16 @@ class PublishedTable:
             df = df.where(F.col(key) == value)
         return df
 
-    def publish(self, rows: DataFrame, **of: str) -> str:
-        """Replaces the partition `of` by the rows; gives the new version."""
+    def publish(self, rows: DataFrame, first: bool = False, **of: str) -> str:
+        """Replaces the partition `of` by the rows; gives the new version.
+
+        `first` says that the partition is known to have no commit yet.
+        """
         if set(of) != set(self.keys):
             raise ValueError(f"a partition is named by {self.keys}, not {tuple(of)}")
         spark = rows.sparkSession
         version = uuid.uuid4().hex
-        before = self._of(self.records(spark), of).agg(F.max("sequence").alias("last")).first().last
+        before = None if first else self._of(self.records(spark), of).agg(F.max("sequence").alias("last")).first().last
         counted = Observation()
         names = {**{k: F.lit(v) for k, v in of.items()}, VERSION: F.lit(version)}
         found = rows.select(*self.schema.names).observe(counted, F.count(F.lit(1)).alias("row_count"))
@@ -91,10 +94,10 @@ class PublishedTable:
 
     def commit(self, spark: SparkSession, version: str, before: int, row_count: int, **of: str) -> None:
         """The one write that makes a version valid: one record, so one file."""
-        record = spark.createDataFrame(
-            [(*[of[k] for k in self.keys], version, before + 1, row_count, None)], self._record
-        ).withColumn("committed_at", F.current_timestamp())
-        record.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        told = {**of, VERSION: version, "sequence": before + 1, "row_count": row_count}
+        values = [F.lit(told[f.name]) if f.name in told else F.current_timestamp() for f in self._record.fields]
+        record = [v.cast(f.dataType).alias(f.name) for v, f in zip(values, self._record.fields)]
+        spark.range(0, 1, 1, 1).select(*record).write.mode("append").parquet(f"{self.path}/commits")
 
     def read(self, spark: SparkSession, **of: str) -> DataFrame:
         """Valid rows of all partitions, or of those that `of` names, with the keys beside them.

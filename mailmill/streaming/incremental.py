@@ -85,14 +85,14 @@ def start_incremental(
         else:
             seen = Ledger(session, f"{root}/seen_ids", buckets, keys=("id",)).take_in(scored)
             messages = normalise_messages(seen.without_done(batch), labels, zone)
-            scored.publish(score_messages(messages, scorer), **mine)
+            scored.publish(score_messages(messages, scorer), first=True, **mine)
         if dry_run or actions.is_published(session, **mine):
             return
         done = Ledger(session, f"{root}/done_actions", buckets).take_in(actions, _DONE)
         planned = act.plan_actions(scored.read(session, **mine), labels)
         fresh = done.without_done(planned.where(F.col("outcome") == act.PENDING)).select(*ACTION.names)
         due = planned.where(F.col("outcome") == act.SKIPPED).select(*ACTION.names).unionByName(fresh)
-        actions.publish(due if connect is None else act.apply_actions(due, connect), **mine)
+        actions.publish(due if connect is None else act.apply_actions(due, connect), first=True, **mine)
 
     # The scope comes first: a message read when it first came and unread now is
     # new to the scope, and ids outside it never enter the state.
