@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import EVALUATION_BODY_CHARS
 from ..functions.text import comparable, or_empty, strip
+from .bayes import predict_bayes, train_folds
 from .predicates import labels_differ, tidy_columns
-from .sampling import TRAIN, VAL, train_val_split
+from .sampling import TRAIN, VAL, fold_split, train_val_split
 from .scoring import Scorer, score_messages
 
 
@@ -152,6 +153,70 @@ def evaluate_scorers(
     return results
 
 
+def score_examples(
+    val: DataFrame, scorers: Mapping[str, Scorer], truth: str = "category",
+    max_body_chars: int | None = EVALUATION_BODY_CHARS,
+) -> DataFrame:
+    """(candidate_id, id, truth, guess, is_right): every example under every candidate, scored once."""
+    rows = val.withColumnRenamed(truth, "truth")
+    results = None
+    for name, scorer in scorers.items():
+        scored = score_messages(rows, scorer, max_body_chars)
+        one = scored.select(
+            F.lit(name).alias("candidate_id"), "id", "truth", F.col("category").alias("guess"),
+            is_right(F.col("truth"), F.col("category")).alias("is_right"),
+        )
+        results = one if results is None else results.unionByName(one)
+    return results
+
+
+def accuracy_of(results: DataFrame) -> DataFrame:
+    """Accuracy per candidate of `score_examples`."""
+    counted = results.groupBy("candidate_id").agg(F.count("*").alias("n"), F.count_if("is_right").alias("n_correct"))
+    return counted.withColumn("accuracy_pct", _percent(F.col("n_correct"), F.col("n")))
+
+
+def compare_paired(results: DataFrame, baseline: str) -> DataFrame:
+    """Each candidate against the baseline, example by example.
+
+    `only_candidate` and `only_baseline` are what decides; `deviation` is their
+    difference in standard deviations if both were equally likely, 0 without any.
+    """
+    own = results.where(F.col("candidate_id") == baseline).select("id", F.col("is_right").alias("_base"))
+    both = results.where(F.col("candidate_id") != baseline).join(own, "id")
+    right, base = F.col("is_right"), F.col("_base")
+    counted = both.groupBy("candidate_id").agg(
+        F.count("*").alias("n"), F.count_if(right & base).alias("both"), F.count_if(right & ~base).alias("only_candidate"),
+        F.count_if(~right & base).alias("only_baseline"), F.count_if(~right & ~base).alias("neither"))
+    difference = F.col("only_candidate") - F.col("only_baseline")
+    decided = F.col("only_candidate") + F.col("only_baseline")
+    return counted.withColumns({
+        "gain_pct": _percent(difference, F.col("n")),
+        "deviation": F.when(decided > 0, difference / F.sqrt(decided.cast("double"))).otherwise(F.lit(0.0)),
+    })
+
+
+def cross_validate(
+    examples: DataFrame, texts: Mapping[str, Column], folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """(candidate_id, id, fold, truth, guess, is_right) of Bayes models that never saw the example.
+
+    Candidates are the texts that models learn from. Each example is scored once
+    per candidate, by the model of the folds it is not in.
+    """
+    rows = fold_split(examples.where(F.col("category").isNotNull()), folds, seed)
+    results = None
+    for name, text in texts.items():
+        guesses = predict_bayes(rows.drop("category"), train_folds(rows, folds, text), text)
+        one = rows.select("id", "fold", F.col("category").alias("truth")).join(
+            guesses.withColumnRenamed("category", "guess"), "id")
+        one = one.select(
+            F.lit(name).alias("candidate_id"), "id", "fold", "truth", "guess",
+            is_right(F.col("truth"), F.col("guess")).alias("is_right"))
+        results = one if results is None else results.unionByName(one)
+    return results
+
+
 def best_candidate(results: DataFrame) -> DataFrame:
     """The most accurate candidate; of equals the first by id."""
     return results.orderBy(F.desc("accuracy_pct"), "candidate_id").limit(1)

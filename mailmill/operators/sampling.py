@@ -11,6 +11,9 @@ of the last id taken come along, so that no id is on both sides of a split.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,32 +37,34 @@ def _place(df: DataFrame, key: str, seed: int, group: str | None) -> DataFrame:
     )
 
 
-def _last_places(places: DataFrame, quota: Column) -> DataFrame:
-    """(group, last): the place of row number `quota` of each group that has that many rows.
+def _last_places(places: DataFrame, *quotas: Column) -> DataFrame:
+    """(group, part, last): the place of row number `quotas[part]` of each group that has that many rows.
 
-    `quota` may use `total`, the rows of the group.
+    A quota may use `total`, the rows of the group.
     """
     counts = places.groupBy("group", "bucket").agg(F.count("*").alias("rows"))
     whole = Window.partitionBy("group")
     earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.posexplode(F.array(*[q.cast("bigint") for q in quotas])).alias("part", "quota")
     edges = (
         counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
         .withColumn("total", F.sum("rows").over(whole))
-        .withColumn("wanted", quota - F.col("before"))
+        .select("*", parts)
+        .withColumn("wanted", F.col("quota") - F.col("before"))
         .where(F.col("wanted").between(1, F.col("rows")))
-        .select("group", "bucket", "wanted")
+        .select("group", "bucket", "part", "wanted")
     )
     in_edge = places.join(broadcast_if_small(edges), ["group", "bucket"])
     # Copies of one id are counted before the shuffle, so many of them are one row.
-    counted = in_edge.groupBy("group", "bucket", "wanted", "place").agg(F.count("*").alias("copies"))
-    so_far = Window.partitionBy("group", "bucket").orderBy("place").rowsBetween(
+    counted = in_edge.groupBy("group", "bucket", "part", "wanted", "place").agg(F.count("*").alias("copies"))
+    so_far = Window.partitionBy("group", "bucket", "part").orderBy("place").rowsBetween(
         Window.unboundedPreceding, 0
     )
     reached = counted.withColumn("reached", F.sum("copies").over(so_far))
     first = (F.col("reached") >= F.col("wanted")) & (
         F.col("reached") - F.col("copies") < F.col("wanted")
     )
-    return reached.where(first).select("group", F.col("place").alias("last"))
+    return reached.where(first).select("group", "part", F.col("place").alias("last"))
 
 
 def stratified_sample(
@@ -89,6 +94,21 @@ def train_val_split(
     return df.withColumn("split", F.when(place <= limit, TRAIN).otherwise(VAL))
 
 
+def fold_split(df: DataFrame, folds: int = 5, seed: int = 42, key: str = "id") -> DataFrame:
+    """Adds `fold`, 0 to `folds` - 1, by the seeded order; sizes differ by one row at most."""
+    quotas = [F.ceil(F.col("total") * F.lit(i) / F.lit(folds)) for i in range(1, folds)]
+    if not quotas:
+        return df.withColumn("fold", F.lit(0))
+    last = _last_places(_place(df, key, seed, None), *quotas)
+    # One row with the last place of each fold but the last one.
+    ends = last.agg(F.struct(*[
+        F.max(F.when(F.col("part") == i, F.col("last"))).alias(f"end{i}") for i in range(folds - 1)
+    ]).alias("ends")).scalar()
+    place = F.struct(seeded_hash(F.col(key), seed).alias("hash"), F.col(key).alias("key"))
+    behind = [F.coalesce((place > ends[f"end{i}"]).cast("int"), F.lit(0)) for i in range(folds - 1)]
+    return df.withColumn("fold", reduce(add, behind))
+
+
 def latest_per_id(df: DataFrame, newest: str, *ties: Column, key: str = "id") -> DataFrame:
     """The newest copy of each id; `ties` order copies of the same time.
 

@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.times import DEFAULT_ZONE
 from ..operators import actions as act
-from ..operators.evaluation import build_examples, evaluate_scorers
+from ..operators.bayes import BayesScorer, train_bayes
+from ..operators.evaluation import accuracy_of, build_examples, compare_paired, evaluate_scorers, score_examples
 from ..operators.ordering import most_recent, newest_first
 from ..operators.predicates import (
     ANYWHERE, INBOX, UNREAD, UNREAD_PRIMARY, require_columns, with_custom_label,
 )
 from ..operators.reports import run_report
-from ..operators.sampling import VAL, stratified_sample
+from ..operators.sampling import TRAIN, VAL, stratified_sample
 from ..operators.scoring import Scorer, score_messages
-from ..schemas import ACTION, RAW, REPORT, SAMPLE_COLUMNS, SCORED
+from ..schemas import ACTION, EXAMPLE, RAW, REPORT, SAMPLE_COLUMNS, SCORED
 from ..sources.ingest import MessageStore
 from ..sources.landing import read_label_dim
 from ..sources.ledger import BUCKETS, Ledger
 from ..sources.tables import (
-    action_table, candidate_table, read_through, report_table, run_of, scored_table,
-    write_candidate_results, write_scored,
+    action_table, candidate_table, example_table, read_through, report_table, run_of, score_table,
+    scored_table, write_candidate_results, write_scored,
 )
 from .normalise import normalise_messages
 
@@ -146,3 +147,26 @@ def evaluate(
     val = build_examples(sample, truth).where(F.col("split") == VAL)
     write_candidate_results(evaluate_scorers(val, scorers), root, run_id)
     return candidate_table(root).read(sample.sparkSession, run_id=run_id)
+
+
+def evaluate_run(
+    sample: DataFrame, truth: DataFrame, scorers: Mapping[str, Scorer], root: str, run_id: str,
+    baseline: str, learn: str | None = None,
+) -> DataFrame:
+    """Examples, their scores and the accuracy of every candidate, each published once, then compared.
+
+    `learn` names a further candidate, a Bayes model of the training examples. Gives
+    each candidate against the baseline, with the counts of examples that decide.
+    """
+    spark = sample.sparkSession
+    table = example_table(root)
+    table.publish(build_examples(sample, truth), run_id=run_id)
+    examples = table.read(spark, run_id=run_id).select(*EXAMPLE.names)
+    if learn is not None:
+        model = train_bayes(examples.where(F.col("split") == TRAIN))
+        scorers = {**scorers, learn: BayesScorer(model)}
+    scores = score_table(root)
+    scores.publish(score_examples(examples.where(F.col("split") == VAL), scorers), run_id=run_id)
+    results = scores.read(spark, run_id=run_id)
+    write_candidate_results(accuracy_of(results), root, run_id)
+    return compare_paired(results, baseline)

@@ -193,6 +193,60 @@ actions as (
   from mail m left join category_label c on m.category = c.category
 )"""
 
+_WORDS = "regexp_extract_all(lower(%s), '[\\p{L}\\p{N}]+')"
+_WHOLE = "subject || chr(10) || body_text"
+
+
+def _bayes(train: str, test: str, text: str = _WHOLE, test_text: str = "", name: str = "") -> str:
+    """CTE `guesses{name}` (id, category): Bayes models of `train` (fold, id, category, ...) on `test` (fold, id, ...).
+
+    The model of a fold is that of the training rows of all other folds.
+    """
+    def tokens(source: str, of: str, columns: str) -> str:
+        return f"select {columns}, unnest({_WORDS % of}) as word from {source}"
+
+    log = "cast(round(ln({}) * 1000000000) as bigint)"
+    return f"""
+      fold{name} as (select distinct fold from {test}),
+      count{name} as (
+        select f.fold, category, word, count(*) as n
+        from ({tokens(train, text, "fold, category")}) t join fold{name} f on t.fold <> f.fold group by all),
+      class{name} as (
+        select f.fold, category, count(*) as messages from {train} t join fold{name} f on t.fold <> f.fold group by all),
+      vocabulary{name} as (select distinct fold, word from count{name}),
+      weight{name} as (
+        select c.fold, c.category, {log.format("messages / sum(messages) over (partition by c.fold)")} as share,
+               {log.format("cast(coalesce(w.words, 0) + v.size as double)")} as size
+        from class{name} c
+        left join (select fold, category, sum(n) as words from count{name} group by all) w using (fold, category)
+        join (select fold, count(*) as size from vocabulary{name} group by fold) v using (fold)),
+      token{name} as (
+        select fold, id, word, count(*) as k
+        from ({tokens(test, test_text or text, "fold, id")}) group by all),
+      seen{name} as (
+        select id, sum(k) as seen from token{name} join vocabulary{name} using (fold, word) group by id),
+      gain{name} as (
+        select id, category, sum(k * {log.format("cast(n + 1 as double)")}) as gain
+        from token{name} join count{name} using (fold, word) group by all),
+      guesses{name} as (
+        select t.id, arg_min(w.category, (-(w.share + coalesce(g.gain, 0) - coalesce(s.seen, 0) * w.size), w.category)) as category
+        from {test} t join weight{name} w using (fold)
+        left join gain{name} g on g.id = t.id and g.category = w.category
+        left join seen{name} s on s.id = t.id group by t.id)"""
+
+
+def _folds(source: str, folds: int) -> str:
+    return f"""select *, cast(floor((row_number() over (order by md5(id || '-42'), id) - 1) * {folds} / count(*) over ()) as int) as fold
+               from {source}"""
+
+
+_ML = (
+    MAIL, SPLIT,
+    "train as (select 1 as fold, id, lang as category, subject, body_text from split where split = 'train')",
+    "val as (select 0 as fold, id, subject, body_text, lang as truth from split where split = 'val')",
+    _bayes("train", "val"),
+)
+
 _LABEL_TEXT = "array_to_string(labels, ',')"
 _ID_TEXT = "array_to_string(label_ids, ',')"
 
@@ -234,6 +288,8 @@ ORACLE = {
       where quality = 1 or (category = 'ADS' and reviewed)"""),
     "recent_top_n": _with(MAIL, then="""
       select id, date, subject from mail order by internal_ts desc, id limit 100"""),
+    "recent_in_one_second": _with(MAIL, then="""
+      select id, subject from mail order by doc_id % 4 desc, id limit 300"""),
     "first_rows": _with(MAIL, then="select id, sender from mail order by sender, id limit 20"),
     "sender_contains": _with(MAIL, then="""
       select id, sender from mail where regexp_matches(sender, 'rc1[0-4]?$')"""),
@@ -315,6 +371,49 @@ ORACLE = {
              case when size > 6000 then 'ValueError: too long'
                   when size >= 4000 then 'invalid answer' end as error
       from sized"""),
+    "ml_scores": _with(*_ML, then="""
+      select truth, count(*) as n, count(*) filter (truth = category) as n_correct,
+             100.0::double * count(*) filter (truth = category) / count(*) as accuracy_pct
+      from val join guesses using (id) group by truth"""),
+    "bayes_scores": _with(*_ML, then="""
+      select id, truth, category, 'words of labelled messages' as reason from val join guesses using (id)"""),
+    "fold_sizes": _with(MAIL, then=f"""
+      select 'all' as rows, fold, count(*) as n, min(id) as first_id from ({_folds("mail", 7)}) group by fold
+      union all select 'one language', fold, count(*), min(id)
+      from ({_folds("(select * from mail where lang = 'es')", 3)}) group by fold"""),
+    "cross_validated_accuracy": _with(
+        MAIL, f"folded as (select fold, id, lang as category, subject, body_text from ({_folds('mail', 5)}))",
+        _bayes("folded", "folded", text="subject", name="_s"), _bayes("folded", "folded", name="_w"),
+        then="""
+      select 'subject' as candidate_id, fold, count(*) as n, count(*) filter (f.category = g.category) as n_correct
+      from folded f join guesses_s g using (id) group by fold
+      union all
+      select 'whole', fold, count(*), count(*) filter (f.category = g.category)
+      from folded f join guesses_w g using (id) group by fold"""),
+    "evaluation_run": _with(
+        MAIL, TRUTH, """
+      kept as (select m.id, m.subject, m.body_text, trim(t.main_label) as category, md5(m.id || '-42') as hash
+               from mail m join truth t on m.id = t.id where t.main_label is not null),
+      example as (select *, row_number() over (order by hash, id) <= floor(0.75 * count(*) over ()) as trains from kept),
+      train as (select 1 as fold, id, category, subject, body_text from example where trains),
+      val as (select 0 as fold, id, category as truth, subject, substr(body_text, 1, 1500) as body_text,
+                     lower(subject || chr(10) || substr(body_text, 1, 1500)) as words from example where not trains)""",
+        _bayes("train", "val"),
+        "told as (select 'few words' as candidate_id, id, truth, "
+        + _rule_case("words", (("GOOD", ("the",)), ("BAD", ("der", "les")))) + " as guess from val"
+        " union all select 'more words', id, truth, "
+        + _rule_case("words", (("GOOD", ("the", "and", "del")), ("BAD", ("der", "les", "die")))) + " from val"
+        " union all select 'bayes', id, truth, g.category from val join guesses g using (id)),"
+        " judged as (select candidate_id, id, coalesce(upper(truth) = upper(guess), false) as ok from told)",
+        then="""
+      select c.candidate_id, count(*) as n, count(*) filter (c.ok and b.ok) as both,
+             count(*) filter (c.ok and not b.ok) as only_candidate, count(*) filter (b.ok and not c.ok) as only_baseline,
+             count(*) filter (not b.ok and not c.ok) as neither,
+             100.0::double * (count(*) filter (c.ok) - count(*) filter (b.ok)) / count(*) as gain_pct,
+             case when count(*) filter (c.ok <> b.ok) = 0 then 0::double else
+               (count(*) filter (c.ok) - count(*) filter (b.ok)) / sqrt(count(*) filter (c.ok <> b.ok)::double) end as deviation
+      from judged c join judged b on c.id = b.id and b.candidate_id = 'few words'
+      where c.candidate_id <> 'few words' group by c.candidate_id"""),
     "category_counts": _with(MAIL, then="""
       select category, count(*) as n from mail where category is not null group by category"""),
     "category_counts_with_null": _with(MAIL, then="""

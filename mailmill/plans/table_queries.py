@@ -16,6 +16,7 @@ from ..functions.labels import main_label, parse_label_text, tag_labels
 from ..functions.times import day_stamp, local_iso, utc_moment
 from ..operators import actions as act
 from ..operators import aggregates as agg
+from ..operators import bayes
 from ..operators import evaluation as ev
 from ..operators import label_sets, lookups, ordering, reports, sampling, scoring
 from ..operators import predicates as pred
@@ -26,6 +27,7 @@ from ..sources.ingest import MessageStore
 from ..sources.ledger import Ledger
 from ..sources.published import VERSION
 from ..streaming import incremental
+from . import jobs
 from . import table_views as views
 from .normalise import normalise_messages
 
@@ -70,6 +72,13 @@ def recent_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.most_recent(views.mail(spark, sf_dir), 100).select("id", "date", "subject")
 
 
+def recent_in_one_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where all messages came within four milliseconds of each other."""
+    at = F.timestamp_millis(F.lit(1_704_067_200_000) + F.col("doc_id") % 4)
+    rows = views.mail(spark, sf_dir).withColumn("internal_ts", at)
+    return ordering.most_recent(rows, 300).select("id", "subject")
+
+
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.mail(spark, sf_dir).select("id", F.col("from").alias("sender"))
     return ordering.first_rows(rows, 20, "sender", "id")
@@ -275,13 +284,20 @@ def client_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "category", "reason", "error")
 
 
-def ml_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bayes_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages learnt from the train rows, predicted for the others."""
     examples = sampling.train_val_split(views.by_language(spark, sf_dir))
-    model = scoring.train_model(examples.where(F.col("split") == sampling.TRAIN))
+    model = bayes.train_bayes(examples.where(F.col("split") == sampling.TRAIN))
     val = examples.where(F.col("split") == sampling.VAL).withColumnRenamed("category", "truth")
-    scored = scoring.score_messages(val, scoring.ModelScorer(model))
-    return ev.accuracy(scored, "truth", "category", "truth")
+    return scoring.score_messages(val, bayes.BayesScorer(model))
+
+
+def bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bayes_scored(spark, sf_dir).select("id", "truth", "category", "reason")
+
+
+def ml_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.accuracy(_bayes_scored(spark, sf_dir), "truth", "category", "truth")
 
 
 # Counts and reports
@@ -332,6 +348,16 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.train_val_split(views.by_language(spark, sf_dir)).select("id", "category", "split")
 
 
+def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds of the whole table, and of seven rows of it."""
+    rows = views.by_language(spark, sf_dir)
+    parts = []
+    for name, some, folds in (("all", rows, 7), ("one language", rows.where(F.col("category") == "es"), 3)):
+        split = sampling.fold_split(some, folds)
+        parts.append(split.groupBy("fold").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).withColumn("rows", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = sampling.train_val_split(views.by_language(spark, sf_dir))
     counts = ev.split_distribution(split)
@@ -436,6 +462,25 @@ def baseline_and_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.baseline_and_best(_candidate_results(spark, sf_dir), _BASELINE)
 
 
+def cross_validated_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of four folds on the fifth, learnt from subjects or from whole messages."""
+    rows = views.by_language(spark, sf_dir)
+    texts = {"subject": F.col("subject"), "whole": bayes.message_text()}
+    results = ev.cross_validate(rows, texts)
+    return results.groupBy("candidate_id", "fold").agg(F.count("*").alias("n"), F.count_if("is_right").alias("n_correct"))
+
+
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples written once, three candidates scored on them once, each compared with the first."""
+    root = work_dir(spark, "evaluation")
+    few = scoring.RuleScorer((("GOOD", ("the",)), ("BAD", ("der", "les"))))
+    many = scoring.RuleScorer((("GOOD", ("the", "and", "del")), ("BAD", ("der", "les", "die"))))
+    compared = jobs.evaluate_run(
+        _sample(spark, sf_dir), views.truth(spark, sf_dir), {"few words": few, "more words": many}, root, "run",
+        baseline="few words", learn="bayes")
+    return compared
+
+
 def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "registry")
     results = _candidate_results(spark, sf_dir)
@@ -666,6 +711,7 @@ QUERIES = {
     "required_labels": required_labels,
     "custom_labelled": custom_labelled,
     "recent_top_n": recent_top_n,
+    "recent_in_one_second": recent_in_one_second,
     "first_rows": first_rows,
     "sender_contains": sender_contains,
     "latest_per_id": latest_per_id,
@@ -695,6 +741,10 @@ QUERIES = {
     "default_rule_scores": default_rule_scores,
     "client_scores": client_scores,
     "ml_scores": ml_scores,
+    "bayes_scores": bayes_scores,
+    "fold_sizes": fold_sizes,
+    "cross_validated_accuracy": cross_validated_accuracy,
+    "evaluation_run": evaluation_run,
     "category_counts": partial(category_counts, keep_null=False),
     "category_counts_with_null": partial(category_counts, keep_null=True),
     "category_report": category_report,

@@ -2,6 +2,7 @@
 
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     DoubleType,
     IntegerType,
     LongType,
@@ -60,6 +61,9 @@ REPORT = StructType(
     _strings("section") + [StructField("position", IntegerType())] + _strings("name")
     + [StructField("n", LongType()), StructField("share_pct", DoubleType())] + _strings("detail")
 )
+EXAMPLE_SCORE = StructType(
+    _strings("candidate_id", "id", "truth", "guess") + [StructField("is_right", BooleanType())]
+)
 CANDIDATE_RESULT = StructType(
     _strings("candidate_id")
     + [StructField("n", LongType()), StructField("n_correct", LongType())]

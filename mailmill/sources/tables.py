@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.times import day_stamp
-from ..schemas import ACTION, CANDIDATE_RESULT, EXAMPLE, MESSAGE, REPORT, SCORED
+from ..schemas import ACTION, CANDIDATE_RESULT, EXAMPLE, EXAMPLE_SCORE, MESSAGE, REPORT, SCORED
 from .published import PublishedTable
 
 RUN = ("scope", "run_date", "cap")
@@ -56,6 +56,10 @@ def example_table(root: str) -> PublishedTable:
     return PublishedTable(f"{root}/examples", EXAMPLE, ("run_id",))
 
 
+def score_table(root: str) -> PublishedTable:
+    return PublishedTable(f"{root}/example_scores", EXAMPLE_SCORE, ("run_id",))
+
+
 def candidate_table(root: str) -> PublishedTable:
     return PublishedTable(f"{root}/candidate_results", CANDIDATE_RESULT, ("run_id",))
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry_file
 # The operators of the training-data pipeline have tests of their own.
 QUERIES = {k: q for k, q in entry_file.queries().items() if k != "pipeline" and not k.startswith("op")}
 SQL = {k: q for k, q in entry_file.oracle_sql().items() if k in QUERIES}
-WITHOUT_SQL = {"ml_scores"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
