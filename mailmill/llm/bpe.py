@@ -6,8 +6,10 @@ there for certain. The fragments between such cuts are encoded each by itself
 and their ids put together again; the result is that of merging the whole word.
 
 A null text is an empty text: no ids, and ids that are null or empty decode to
-''. Texts are encoded whole, whatever their length. Words are remembered per
-worker, at most WORDS of them; the memory of a task holds one Arrow batch.
+''. Texts are encoded whole, whatever their length. Repeated rows are treated
+alike, an empty table gives no rows, further columns stay as they are. What stands
+between two spaces, words and fragments are remembered per worker, each in about
+REMEMBERED_BYTES at most; the memory of a task holds one Arrow batch.
 """
 
 from __future__ import annotations
@@ -29,8 +31,13 @@ from tokenizers import Tokenizer
 
 from mailmill.llm.tables import ship
 
-WORDS = 200_000
+REMEMBERED_BYTES = 48 << 20
+_ENTRY = 200
+"""About what an entry takes besides its key and value."""
 _SHORT = 24
+_BITS = 20
+_ID = (1 << _BITS) - 1
+_NEVER = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -43,16 +50,19 @@ def byte_letters() -> list[str]:
 
 
 class _Remembered(dict):
-    """Ids as packed bytes by key, made when first asked for; emptied when full."""
+    """Results by key, made when first asked for; emptied when they take too much room."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable, most: int = REMEMBERED_BYTES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.held = make, most, 0
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
+    def __missing__(self, key):
+        value = self.make(key)
+        self.held += _ENTRY + 5 * len(key)
+        if self.held > self.most:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self[key] = value
         return value
 
 
@@ -66,19 +76,34 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        # Ids of a pair to its rank and the id it becomes, each in one number.
+        self.merges = {
+            self.ids[a] << _BITS | self.ids[b]: rank << _BITS | self.ids[a + b] for rank, (a, b) in enumerate(pairs)
+        }
         self.tokens = {i: t for t, i in self.ids.items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.specials.items()})
         self.letters = byte_letters()
         self.joined = {p for token in self.ids for p in _neighbours(self.symbols(token))}
+        self.byte_of = {letter: b for b, letter in enumerate(self.letters)}
+        self.inner = [self.ids[letter] for letter in self.letters]
+        self.last = [self.ids[letter + self.end] for letter in self.letters]
+        # Whether two bytes may be merged, inside a word and at its end.
+        self.may_join, self.may_end = bytearray(1 << 16), bytearray(1 << 16)
+        for left, right in self.joined:
+            if left in self.byte_of:
+                if right in self.byte_of:
+                    self.may_join[self.byte_of[left] << 8 | self.byte_of[right]] = 1
+                if right.removesuffix(self.end) in self.byte_of and right.endswith(self.end):
+                    self.may_end[self.byte_of[left] << 8 | self.byte_of[right.removesuffix(self.end)]] = 1
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find_words = regex.compile(pattern).findall
         self.library = Tokenizer.from_file(path)
         self.agreed, self.odd = set(map(chr, range(128))), set()
         self.find_specials = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
-        self.pieces = _Remembered(self.encode_fragment, WORDS)
-        self.words = _Remembered(self.encode_word, WORDS)
+        self.pieces = _Remembered(self.encode_fragment)
+        self.words = _Remembered(self.encode_word)
+        self.parts = _Remembered(self.round_trip_part)
 
     def symbols(self, token: str) -> list[str]:
         """Byte symbols of a token as the vocabulary writes it; the last may carry the word's end."""
@@ -87,70 +112,81 @@ class Vocabulary:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def fragments(self, word: str) -> Iterator[str]:
-        """A word in byte letters, cut at every forced boundary; its last letter ends the word."""
+    def fragments(self, word: bytes) -> Iterator[bytes]:
+        """A word cut at every forced boundary; its last byte ends the word."""
         begin, last = 0, len(word) - 1
+        may = self.may_join
         for at in range(1, last + 1):
-            right = word[at] + self.end if at == last else word[at]
-            if (word[at - 1], right) not in self.joined:
+            if at == last:
+                may = self.may_end
+            if not may[word[at - 1] << 8 | word[at]]:
                 yield word[begin:at]
                 begin = at
         yield word[begin:]
 
-    def encode_fragment(self, key: str) -> bytes:
-        """Ids of a fragment; the last one of a word has a line end behind it, which no byte letter is."""
-        parts = [*key[:-2], key[-2] + self.end] if key[-1] == "\n" else list(key)
-        return array("i", [self.ids[token] for token in self.merge(parts)]).tobytes()
+    def encode_fragment(self, key: bytes) -> bytes:
+        """Ids of a fragment; the last one of a word has a line end behind it, which no word holds."""
+        if key[-1] == 10:
+            ids = [self.inner[b] for b in key[:-2]]
+            ids.append(self.last[key[-2]])
+        else:
+            ids = [self.inner[b] for b in key]
+        return array("i", self.merge(ids)).tobytes()
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def merge(self, ids: list[int]) -> list[int]:
         """A fragment after all merges, the lowest rank first, of equal ranks the leftmost."""
-        return self._merge_short(parts) if len(parts) <= _SHORT else self._merge_long(parts)
-
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        rank_of, never = self.ranks.get, len(self.ranks)
-        parts = list(parts)
-        ranks = [rank_of(pair, never) for pair in _neighbours(parts)]
-        while ranks:
-            rank = min(ranks)
-            if rank == never:
+        return self._merge_short(ids) if len(ids) <= _SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        found = self.merges.get
+        ways = [found(a << _BITS | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ways:
+            best = min(ways)
+            if best == _NEVER:
                 break
-            at = ranks.index(rank)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+            at = ways.index(best)
+            ids[at : at + 2] = [best & _ID]
+            del ways[at]
             if at:
-                ranks[at - 1] = rank_of((parts[at - 1], parts[at]), never)
-            if at < len(ranks):
-                ranks[at] = rank_of((parts[at], parts[at + 1]), never)
-        return parts
+                ways[at - 1] = found(ids[at - 1] << _BITS | ids[at], _NEVER)
+            if at < len(ways):
+                ways[at] = found(ids[at] << _BITS | ids[at + 1], _NEVER)
+        return ids
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs, in n log n for n symbols."""
-        parts = list(parts)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        heap = [(self.ranks[p], i, p) for i, p in enumerate(_neighbours(parts)) if p in self.ranks]
+        ids = list(ids)
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        found = self.merges.get
+        heap = [(way >> _BITS, i, pair) for i, pair in enumerate(a << _BITS | b for a, b in zip(ids, ids[1:])) if (way := found(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, at, (left, right) = heapq.heappop(heap)
+            _, at, pair = heapq.heappop(heap)
             nxt = after[at]
-            if parts[at] != left or nxt >= len(parts) or parts[nxt] != right:
+            if ids[at] < 0 or nxt >= len(ids) or ids[at] << _BITS | ids[nxt] != pair:
                 continue
-            parts[at], parts[nxt] = left + right, ""
+            ids[at], ids[nxt] = self.merges[pair] & _ID, -1
             after[at] = after[nxt]
-            if after[nxt] < len(parts):
+            if after[nxt] < len(ids):
                 before[after[nxt]] = at
             for i in (before[at], at):
-                if i >= 0 and after[i] < len(parts):
-                    pair = (parts[i], parts[after[i]])
-                    if pair in self.ranks:
-                        heapq.heappush(heap, (self.ranks[pair], i, pair))
-        return [p for p in parts if p]
+                if i >= 0 and after[i] < len(ids):
+                    new = ids[i] << _BITS | ids[after[i]]
+                    if (way := found(new)) is not None:
+                        heapq.heappush(heap, (way >> _BITS, i, new))
+        return [i for i in ids if i >= 0]
 
-    def encode_letters(self, word: str) -> bytes:
+    def encode_bytes(self, word: bytes) -> bytes:
         *inner, last = self.fragments(word)
-        return b"".join(map(self.pieces.__getitem__, [*inner, last + "\n"]))
+        return b"".join(map(self.pieces.__getitem__, [*inner, last + b"\n"]))
 
     def encode_word(self, word: str) -> bytes:
-        return self.encode_letters("".join([self.letters[b] for b in word.encode("utf-8")]))
+        return self.encode_bytes(word.encode("utf-8"))
+
+    def round_trip_part(self, part: str) -> tuple[bytes, str]:
+        """Ids of what stands between two spaces, and what they decode to."""
+        packed = b"".join(map(self.words.__getitem__, self.find_words(part)))
+        return packed, self.decode(array("i", packed).tolist())
 
     def is_odd(self, text: str) -> bool:
         """Whether the text has a letter that the library, of another Unicode version, puts in another class."""
@@ -161,21 +197,31 @@ class Vocabulary:
             (self.agreed if theirs == own else self.odd).add(c)
         return bool(self.odd) and not self.odd.isdisjoint(text)
 
-    def encode_plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        if text.isascii():
-            return b"".join(map(self.words.__getitem__, self.find_words(text.lower())))
-        if self.is_odd(text):
-            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return b"".join(self.encode_letters(w) for w, _ in words if w)
-        return b"".join(map(self.words.__getitem__, self.find_words(_lowered(text))))
+    def parts_of(self, text: str) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of the parts of a text without special tokens. No word holds a space."""
+        if not text.isascii():
+            if self.is_odd(text):
+                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+                packed = b"".join(self.encode_bytes(bytes([self.byte_of[c] for c in w])) for w, _ in words if w)
+                return [(packed, self.decode(array("i", packed).tolist()))]
+            text = _lowered(text)
+        else:
+            text = text.lower()
+        return list(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text, four bytes each, and what they decode to."""
+        if "<|" not in text and not any(s in text for s in self.specials):
+            parts = self.parts_of(text)
+        else:
+            special = {s: (array("i", [i]).tobytes(), s) for s, i in self.specials.items()}
+            parts = []
+            for piece in self.find_specials.split(text):
+                parts += [special[piece]] if piece in special else self.parts_of(piece)
+        return b"".join([ids for ids, _ in parts]), " ".join([shown for ids, shown in parts if ids])
 
     def encode_packed(self, text: str) -> bytes:
-        """The ids of a text, four bytes each."""
-        if "<|" not in text and not any(s in text for s in self.specials):
-            return self.encode_plain(text)
-        special = {s: array("i", [i]).tobytes() for s, i in self.specials.items()}
-        return b"".join(special[p] if p in special else self.encode_plain(p) for p in self.find_specials.split(text))
+        return self.round_trip(text)[0]
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_packed(text)).tolist()
@@ -226,13 +272,27 @@ def decode(ids: Column, path: str) -> Column:
     return text_of(ids)
 
 
+_BOTH = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds `ids` and `decoded`; columns that have these names already are replaced."""
+    """Adds `ids` and `decoded`; columns that have these names already are replaced.
+
+    Both come from one call: a text is decoded part by part as it is encoded, which is
+    `decode(encode(text))`, as decoded parts stand side by side with a space between.
+    """
     ship(docs.sparkSession)
-    encoded = docs.withColumn("ids", encode(F.col(text), path))
-    # Null ids become none here, which also keeps Spark from encoding a second time inside the decoder.
-    ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    return encoded.withColumn("decoded", decode(ids, path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        words = vocabulary(path)
+        packed, shown = zip(*[words.round_trip(text.as_py() or "") for text in texts]) if len(texts) else ((), ())
+        offsets = pa.array(np.cumsum([0, *map(len, packed)]) // 4, pa.int32())
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return pa.StructArray.from_arrays([ids, pa.array(shown, pa.string())], fields=list(_BOTH))
+
+    own = docs.select("*", both(F.col(text)).alias("_bpe"))
+    return own.withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
 
 
 def bpe_digest(coded: DataFrame) -> DataFrame:

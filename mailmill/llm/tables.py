@@ -21,9 +21,11 @@ def ship(spark: SparkSession) -> None:
     """Makes the session ready for Python in tasks.
 
     Sends this package's code to the executors, once per application, so that it
-    need not be installed there. Texts may be long, so batches hold fewer rows.
+    need not be installed there. Texts may be long, so the session's Arrow batches are
+    bounded to fewer rows and bytes from then on.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     context = spark.sparkContext
     if getattr(context, "_mailmill_shipped", False):
         return
