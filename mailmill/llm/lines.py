@@ -15,7 +15,7 @@ on nearby words only, so equal passages have equal chunks wherever they stand.
 
 The text of the smallest key keeps a passage. Chunks that a text repeats within
 itself count at their first place. A key is a hash of id and text, so repeated
-rows share it and are treated alike. Texts travel compressed. Only hashes are
+rows share it, are compared once and cut alike. Texts travel compressed. Only hashes are
 grouped globally; a chunk in a third of all texts is one row per task before the
 shuffle, and the joins on it are split by adaptive execution.
 
@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailmill.llm.tables import ship, stored
+from mailmill.operators.bounded import broadcast_if_small
 
 FOLD = 3
 LEAST_WORDS = 25
 CONTEXT = 320
 """Bytes beside a run that are compared as well. Any longer common part has a chunk of its own."""
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SEGMENT = 24
 """Chunks of a run that are compared in one piece."""
 LEAST_RUN = 8
@@ -271,9 +272,20 @@ def repeated_runs(chunks: DataFrame) -> DataFrame:
     return runs.select("key", "first", "last", "other", (F.col("first") + F.col("shift")).alias("o_first"), (F.col("last") + F.col("shift")).alias("o_last"))
 
 
+def one_of_each(keyed: DataFrame) -> DataFrame:
+    """Rows of (key, text), those of one key once.
+
+    Keys are counted without their texts; only texts of keys that came more than once are grouped.
+    """
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    several = broadcast_if_small(stored(several, "keys"))
+    once = keyed.join(several, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return keyed.join(several, "key", "left_anti").unionByName(once)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, start, end) of bytes that stand in a text of a smaller key as well."""
-    keyed = docs.where(F.col(text).isNotNull()).select(_key(text, doc_id).alias("key"), F.col(text).alias("text"))
+    keyed = one_of_each(docs.where(F.col(text).isNotNull()).select(_key(text, doc_id).alias("key"), F.col(text).alias("text")))
     chunks = stored(keyed.mapInArrow(_chunk_rows, "key long, place int, hash long, words int"), "chunks")
     runs = stored(repeated_runs(chunks), "runs")
     ranges = runs.select("key", "first", "last").unionByName(runs.select(F.col("other").alias("key"), F.col("o_first").alias("first"), F.col("o_last").alias("last")))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailmill.llm import decontaminate, jaccard, lines, ngrams, urls
 
@@ -314,3 +315,14 @@ def test_pipeline_stages(spark, docs_of, sf_dir):
             assert docs_out.columns == docs.columns and docs_out.dtypes == docs.dtypes
         docs = docs_out if name != "bpe" else docs
     assert docs.count() >= 3
+
+
+def test_repeated_rows_are_compared_once(spark, docs_of):
+    """Two texts with a passage in common, each a thousand times over, give the spans of one of each."""
+    rnd = random.Random(4)
+    passage = "\n".join(" ".join(f"w{rnd.randrange(5000)}" for _ in range(9)) for _ in range(12))
+    pair = [(1, "first own line\n" + passage), (2, passage + "\nsecond own line of it")]
+    once = lines.repeated_spans(docs_of(pair)).count()
+    assert 0 < lines.repeated_spans(docs_of(pair * 1000)).count() == once
+    cut = lines.dedup_lines(docs_of(pair * 20)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_removed_words").alias("cut")).collect()
+    assert sorted((r.n, r.cut > 100) for r in cut) in ([(20, False), (20, True)], [(20, True)])
