@@ -95,8 +95,41 @@ def unescape(text: Column) -> Column:
     )
 
 
+# Tags that open and close a template, and whole pieces that hold none that count.
+_TEMPLATE_PIECE = "|".join((
+    r"(?s:<!--.*?(?:-->|\z))",
+    r"(?is:<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z))",
+    r"(?i:<template(?=[\s/>])[^>]*>)",
+    r"(?i:</template\s*>)",
+    r"[^<]+",
+    r"<",
+))
+_OPENS, _CLOSES = r"(?i)^<template[\s/>]", r"(?i)^</template\s*>"
+_OPEN_ANYWHERE = r"(?i)<template[\s/>]"
+
+
+def _without_templates(html: Column) -> Column:
+    """A page without the templates in it, whatever they hold; a tag stands for each outermost one.
+
+    Depth is counted along the pieces: a template ends where as many were closed as opened.
+    """
+    def step(state: Column, piece: Column) -> Column:
+        opens = piece.rlike(_OPENS)
+        closes = piece.rlike(_CLOSES) & (state["depth"] > 0)
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        shown = F.when((state["depth"] > 0) | closes, F.lit("")).when(opens, F.lit("<wbr>")).otherwise(piece)
+        return F.struct(depth.alias("depth"), F.array_append(state["shown"], shown).alias("shown"))
+
+    pieces = F.regexp_extract_all(html, F.lit(_TEMPLATE_PIECE), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("shown"))
+    return F.array_join(F.aggregate(pieces, start, step)["shown"], "")
+
+
 def html_to_text(html: Column) -> Column:
     """Text nodes, each stripped, empty ones left out, joined by one space."""
-    nodes = F.split(html, _BETWEEN)
+    # One template is told apart by the pattern below; of several, one may stand in another.
+    several = F.regexp_count(html, F.lit(_OPEN_ANYWHERE)) > 1
+    flat = F.when(several, _without_templates(html)).otherwise(html)
+    nodes = F.split(flat, _BETWEEN)
     shown = F.transform(nodes, lambda node: strip(unescape(node)))
     return F.array_join(F.filter(shown, lambda node: node != ""), " ")

@@ -343,6 +343,13 @@ ORACLE = {
              {_squeeze("concat_ws(chr(10), nullif(m.body_text, ''), nullif(" + _page_text("p.html") + ", ''))")} as body_text,
              {_LABEL_TEXT} as labels
       from mail m join named_lists n on m.id = n.id left join pages p on p.page_id = m.doc_id"""),
+    "deep_payloads": _with(MAIL, then=f"""
+      select m.id,
+             case when doc_id % 10 in (7, 8) then '' when doc_id % 10 = 9 then m.subject else 'deep' end as subject,
+             case when doc_id % 10 in (7, 8) then '' else
+               {_squeeze("concat_ws(chr(10), nullif(m.body_text, ''), nullif(" + _page_text("p.html") + ", ''))")} end as body_text,
+             case doc_id % 10 when 7 then 'payload is no JSON' when 8 then 'payload is no JSON object' end as payload_error
+      from mail m left join pages p on p.page_id = m.doc_id"""),
     "page_text": f"select page_id, {_page_text('html')} as page_text from pages",
     "local_times": """
       select event_id,

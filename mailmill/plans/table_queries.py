@@ -192,6 +192,23 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads up to 3,000 levels deep, cut short, of another type, or with fields of another type."""
+    rows = views.raw(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    levels = (F.col("n") % 4 * 1000).cast("int")
+    wrapped = F.concat(
+        F.lit('{"headers":[{"name":"subject","value":"deep"}],"parts":['), F.repeat(F.lit('{"parts":['), levels),
+        "payload", F.repeat(F.lit("]}"), levels), F.lit("]}"))
+    payload = (
+        F.when(F.col("n") % 10 == 7, F.left("payload", F.length("payload") - 1))
+        .when(F.col("n") % 10 == 8, F.concat(F.lit("["), "payload", F.lit("]")))
+        .when(F.col("n") % 10 == 9, F.concat(F.lit('{"body":5,'), F.substr("payload", F.lit(2))))
+        .otherwise(wrapped)
+    )
+    read = normalise_messages(rows.withColumn("payload", payload), views.label_dim(spark, sf_dir), with_errors=True)
+    return read.select("id", "subject", "body_text", "payload_error")
+
+
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "pages")
     return pages.select("page_id", html_to_text(F.col("html")).alias("page_text"))
@@ -731,6 +748,7 @@ QUERIES = {
     "main_label_counts": main_label_counts,
     "parsed_labels": parsed_labels,
     "normalised_messages": normalised,
+    "deep_payloads": deep_payloads,
     "page_text": page_text,
     "local_times": local_times,
     "prompt_texts": prompt_texts,

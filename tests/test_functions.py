@@ -235,3 +235,59 @@ def test_long_and_deep_payloads(run):
     assert len(long) > 21_000_000
     sizes = lambda c: F.length(texts(c))
     assert run(sizes, [long]) == [15_800_000]
+
+
+@pytest.mark.parametrize("text", [
+    '{"a": [1, -2.5e3, true, null, {"b": "x\\"]}"}], "c": {}}', "[]", "[[], {}]", ' "s" ', "5", '{"a": "\\u00e9\\n"}', "[1, [2, [3]]]",
+])
+def test_json_read_token_by_token(text):
+    assert payload.parse_json(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", [
+    "", "{", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "]", "{]", "[}", "nul", '{a: 1}', "[1]]", '{"a":1}{}', '"', "1,2", "[1", '{"a":1 "b":2}', ":",
+])
+def test_what_is_no_json_is_an_error(text):
+    with pytest.raises(ValueError):
+        json.loads(text)
+    with pytest.raises(ValueError):
+        payload.parse_json(text)
+
+
+def deep_payload(levels, inner='{"mimeType":"text/plain","body":{"data":"aGk="}}'):
+    return '{"headers":[{"name":"Subject","value":"s"}],"parts":[' + '{"parts":[' * levels + inner + "]}" * levels + "]}"
+
+
+def test_payloads_of_any_depth_and_of_no_json(spark):
+    cases = [(0, "hi", None), (5, "hi", None), (6, "hi", None), (7, "hi", None), (480, "hi", None), (600, "hi", None), (5000, "hi", None)]
+    data = [(deep_payload(n), body, error) for n, body, error in cases]
+    data += [
+        (deep_payload(6, '{"mimeType":"image/png"}'), "", None), (deep_payload(6, "null"), "", None),
+        ("{cut", "", payload.NOT_JSON), ("[1]", "", payload.NOT_OBJECT), ("7", "", payload.NOT_OBJECT), (None, "", None), ("", "", payload.NOT_JSON),
+        ('{"parts":7,"headers":"x"}', "", None), ('{"mimeType":"text/plain","body":{"data":"aGk="},"parts":"x"}', "hi", None),
+    ]
+    df = spark.createDataFrame([(k, p) for k, (p, _, _) in enumerate(data)], "k int, payload string")
+    read = df.withColumn("read", payload.read_payload(F.col("payload")))
+    both = (F.col("read"), F.col("payload"))
+    got = read.select("k", payload.join_text_parts(payload.text_parts(*both)).alias("body"), payload.payload_error(*both).alias("error"),
+                      payload.headers_of(*both).alias("headers")).orderBy("k").collect()
+    assert [(r.body or "", r.error) for r in got] == [(b, e) for _, b, e in data]
+    assert all(r.headers[0].value == "s" for r in got[:9])
+    # All three are read off one call of the function.
+    plan = read.select(payload.text_parts(*both), payload.payload_error(*both), payload.headers_of(*both))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize(("page", "shown"), [
+    ("a<template>x<template>y</template>z</template>b", "a b"),
+    ("a<template>x</template>b<template>y</template>c", "a b c"),
+    ("a<TEMPLATE id='1'>x<template><template>y</template></template >z</template>b</template>c", "a b c"),
+    ("a<template>x<template>y</template>z", "a"),
+    ("<!-- <template> <template> -->a<p>b</p>", "a b"),
+    ("<script>'<template><template>'</script>a", "a"),
+    ("a<templates>b<templates>c", "a b c"),
+    ("a < b <template><template></template></template> c", "a < b c"),
+])
+def test_templates_inside_templates(spark, page, shown):
+    df = spark.createDataFrame([(page,)], "html string")
+    assert df.select(html.html_to_text(F.col("html")).alias("t")).first().t == shown
