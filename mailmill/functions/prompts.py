@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +18,20 @@ _ANSWER = "category string, reason_short string"
 _STRICT = {"allowSingleQuotes": "false"}
 
 
-def default_instruction() -> str:
-    names = ", ".join(CATEGORIES)
-    return f"Put the message into exactly one of these categories: {names}."
+def default_instruction(
+    categories: Sequence[str] = CATEGORIES, definitions: Mapping[str, str] | None = None,
+    demonstrations: Iterable[tuple[str, str]] = (),
+) -> str:
+    """What a client is told: the categories, what each of them means, messages already sorted.
+
+    A demonstration is the prompt of a message with its category.
+    """
+    lines = [f"Put the message into exactly one of these categories: {', '.join(categories)}."]
+    if definitions:
+        lines += ["", *[f"{i}. {c}: {definitions[c]}" for i, c in enumerate(categories, start=1) if c in definitions]]
+    for prompt, category in demonstrations:
+        lines += ["", prompt, f"Category: {category}"]
+    return "\n".join(lines)
 
 
 def cut_body(body: Column, max_chars: int | None) -> Column:

@@ -10,8 +10,8 @@ name wins. Words not seen in training say nothing.
 The same counts, kept by fold, give the model of every fold's remainder by subtraction:
 cross-validation counts each word once and scores each message once.
 
-Words that make one of HOT words at least, so at most HOT of them, are joined by
-broadcast; the others, none of which is frequent, by a shuffle. `id` tells messages apart.
+Words that very many messages hold are looked up by broadcast (`skewed.lookup`), the
+others by a shuffle. `id` tells messages apart.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import or_empty
+from .skewed import lookup
 
 # A word is a run of letters and digits; logs are counted in billionths.
 WORD = r"[\p{L}\p{N}]+"
 UNIT = 1_000_000_000
-HOT = 1000
 
 COUNTS = StructType([
     StructField("category", StringType()), StructField("word", StringType()), StructField("n", LongType()),
@@ -76,10 +76,10 @@ class BayesModel:
         ).orderBy("fold", "category").collect()
 
     def gains(self, categories: list[str]) -> DataFrame:
-        """(fold, word, total, gains): of each word the logs of its counts, in the order of the categories."""
+        """(fold, word, gains): of each word the logs of its counts, in the order of the categories."""
         count = [F.sum(F.when(F.col("category") == c, F.col("n"))) for c in categories]
         logs = F.array(*[_log((F.coalesce(n, F.lit(0)) + 1).cast("double")) for n in count])
-        return self.counts.where("n > 0").groupBy("fold", "word").agg(F.sum("n").alias("total"), logs.alias("gains"))
+        return self.counts.where("n > 0").groupBy("fold", "word").agg(logs.alias("gains"))
 
 
 def train_bayes(examples: DataFrame, label: str = "category", text: Column | None = None) -> BayesModel:
@@ -118,16 +118,8 @@ def predict_bayes(messages: DataFrame, model: BayesModel, text: Column | None =
     categories = sorted({r.category for r in known})
     gains = model.gains(categories)
     words = words_of(messages, key, "fold", text=text)
-    totals = gains.groupBy("fold").agg(F.sum("total").alias("_all"))
-    # At most HOT words of each fold.
-    hot = gains.join(F.broadcast(totals), "fold").where(F.col("total") * HOT >= F.col("_all"))
-    hot = hot.select("fold", "word", F.col("gains").alias("_hot"))
-    found = words.join(F.broadcast(hot), ["fold", "word"], "left")
-    # What is found already takes no part in the shuffle join: it goes by its message instead.
-    aside = F.concat(F.lit("\x00"), F.col(key).cast("string"))
-    found = found.withColumn("_word", F.when(F.col("_hot").isNotNull(), aside).otherwise(F.col("word")))
-    rest = gains.select("fold", F.col("word").alias("_word"), "gains")
-    found = found.join(rest, ["fold", "_word"], "left").withColumn("_gains", F.coalesce("_hot", "gains"))
+    met = words.groupBy("fold", "word").agg(F.count("*").alias("n"))
+    found = lookup(words, gains.select("fold", "word", F.col("gains").alias("_gains")), ["fold", "word"], met, spread=key)
     sums = [F.sum(F.col("k") * F.col("_gains")[i]).alias(f"_sum{i}") for i in range(len(categories))]
     seen = F.sum(F.when(F.col("_gains").isNotNull(), F.col("k"))).alias("_seen")
     by_message = found.groupBy(key).agg(seen, *sums)

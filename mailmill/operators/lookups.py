@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..categories import category_dim
 from ..functions.labels import or_no_labels
 from .bounded import small_rows
+from .skewed import lookup
 
 # A map literal is searched key by key; a mailbox has tens of labels.
 MOST_MAPPED_LABELS = 500
-_SALTS = 32
 
 
 def name_labels(
@@ -43,27 +43,24 @@ def _name_labels_by_join(
 ) -> DataFrame:
     """For label tables too large for a map.
 
-    What an array maps to depends on the array alone, so the distinct arrays
-    are mapped, which are few however many messages share them. Labels that
-    most arrays hold, and arrays that most messages hold, are spread by a salt.
+    What an array maps to depends on the array alone, so the distinct arrays are
+    mapped, which are few however many messages share them. Finding them counts
+    them: arrays that many messages hold, and labels that many arrays hold, are
+    looked up by broadcast, all others by a shuffle.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
-
-    def salt(*columns):
-        return F.pmod(F.xxhash64(*columns), F.lit(_SALTS)).cast("int").alias("_salt")
-
-    arrays = df.select(or_no_labels(F.col(ids)).alias("_ids")).distinct()
-    single = arrays.select("_ids", salt("_ids"), F.posexplode("_ids").alias("_pos", "label_id"))
-    named = single.join(names.select("*", salts), ["label_id", "_salt"], "left")
+    rows = df.withColumn("_ids", or_no_labels(F.col(ids)))
+    arrays = rows.groupBy("_ids").agg(F.count("*").alias("n"))
+    single = arrays.select("_ids", F.posexplode("_ids").alias("_pos", "label_id"))
+    in_arrays = single.groupBy("label_id").agg(F.count("*").alias("n"))
+    named = lookup(single, names, ["label_id"], in_arrays, spread="_ids")
     mapped = named.groupBy("_ids").agg(
         F.array_sort(
             F.collect_list(F.struct("_pos", F.coalesce("label_name", "label_id").alias("name")))
         ).alias("_named")
     )
-    mapped = mapped.select("_ids", F.col("_named")["name"].alias(out), salts)
-    salted = df.select("*", or_no_labels(F.col(ids)).alias("_ids"), salt(key))
-    joined = salted.join(mapped, ["_ids", "_salt"], "left")
-    return joined.withColumn(out, or_no_labels(F.col(out))).select(*df.columns, out)
+    mapped = mapped.select("_ids", F.col("_named")["name"].alias("_names"))
+    joined = lookup(rows, mapped, ["_ids"], arrays, spread=key)
+    return joined.withColumn(out, or_no_labels(F.col("_names"))).select(*df.columns, out)
 
 
 def label_id_of_category(label_dim: DataFrame, categories: DataFrame | None = None) -> DataFrame:

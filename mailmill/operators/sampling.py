@@ -120,29 +120,40 @@ def latest_per_id(df: DataFrame, newest: str, *ties: Column, key: str = "id") ->
     return df.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
 
 
-# A demonstration set travels whole with every prompt.
+# A set that is one list travels whole with every prompt.
 MOST_DEMONSTRATIONS = 50
 
 
-def few_shot_sets(
+def few_shot_rows(
     examples: DataFrame, sizes: dict[str, int], seed: int = 42
 ) -> DataFrame:
-    """(candidate_id, demonstrations): per candidate n train rows of each category, ordered.
+    """(candidate_id, place, id, category, subject, body_text): demonstrations as rows, of any number.
 
-    Candidates draw from one seeded order, so a smaller set is part of a larger one.
+    Per candidate n train rows of each category, by category and seeded order.
+    Candidates draw from one order, so a smaller set is part of a larger one.
     """
-    if max(sizes.values()) > MOST_DEMONSTRATIONS:
-        raise ValueError(f"at most {MOST_DEMONSTRATIONS} demonstrations per category")
     train = examples.where(F.col("split") == TRAIN)
     drawn = stratified_sample(train, max(sizes.values()), seed)
+    # The windows run over drawn rows, of which there are n for each category.
     place = Window.partitionBy("category").orderBy(seeded_hash(F.col("id"), seed), "id")
     wanted = F.array(
         *[F.struct(F.lit(c).alias("candidate_id"), F.lit(n).alias("n")) for c, n in sizes.items()]
     )
     rows = drawn.withColumn("_place", F.row_number().over(place)).withColumn("_c", F.explode(wanted))
-    rows = rows.where(F.col("_place") <= F.col("_c")["n"])
-    demo = F.struct("category", "_place", "id", "subject", "body_text")
-    sets = rows.groupBy(F.col("_c")["candidate_id"].alias("candidate_id")).agg(
+    rows = rows.where(F.col("_place") <= F.col("_c")["n"]).withColumn("candidate_id", F.col("_c")["candidate_id"])
+    order = Window.partitionBy("candidate_id").orderBy("category", "_place")
+    return rows.select(
+        "candidate_id", (F.row_number().over(order) - 1).alias("place"), "id", "category", "subject", "body_text")
+
+
+def few_shot_sets(
+    examples: DataFrame, sizes: dict[str, int], seed: int = 42
+) -> DataFrame:
+    """(candidate_id, demonstrations): the rows of `few_shot_rows` as one list for each candidate."""
+    if max(sizes.values()) > MOST_DEMONSTRATIONS:
+        raise ValueError(f"at most {MOST_DEMONSTRATIONS} demonstrations per category; few_shot_rows has no limit")
+    demo = F.struct("place", "id", "category", "subject", "body_text")
+    sets = few_shot_rows(examples, sizes, seed).groupBy("candidate_id").agg(
         F.array_sort(F.collect_list(demo)).alias("demonstrations")
     )
     bare = F.transform("demonstrations", lambda d: F.struct(d["id"], d["category"], d["subject"], d["body_text"]))

@@ -264,6 +264,18 @@ def _scorer_accuracy() -> str:
             union all select 'more words', lang, {long} from mail) group by candidate_id""")
 
 
+def _registered_best() -> str:
+    text = "lower(subject || chr(10) || body_text)"
+    few = _rule_case(text, (("de", ("und",)), ("fr", ("dans",))))
+    many = _rule_case(text, (("de", ("und", "der")), ("fr", ("dans", "pour")), ("es", ("los", "del"))))
+    return _with(MAIL, f"""
+      told as (select 'few words' as candidate_id, id, lang, {few} as category from mail
+               union all select 'more words', id, lang, {many} from mail),
+      best as (select candidate_id from told group by candidate_id
+               order by count(*) filter (category = lang) desc, candidate_id limit 1)""",
+        then="select candidate_id, id, category from told where candidate_id = (select candidate_id from best)")
+
+
 _RESPONSE_OK = "coalesce(toxic, 0) = 0 and lang not in ('fr', 'de') and n_chars >= 700"
 
 _PROMPT = "'Subject: ' || subject || chr(10) || 'Body: ' || body_text"
@@ -303,6 +315,10 @@ ORACLE = {
       select id, {_LABEL_TEXT} as labels from named_lists"""),
     "label_names_joined": _with(MAIL, LABEL_DIM, NAMED_LISTS, then=f"""
       select id, {_LABEL_TEXT} as labels from named_lists"""),
+    "label_names_skewed": _with(MAIL, LABEL_DIM, NAMED_LISTS, then=f"""
+      select m.id, case when m.doc_id % 10 = 0 then array_to_string(list_concat(n.labels, ['own_' || m.id, (select label_name from label_dim where label_id = 'INBOX')]), ',')
+                        else 'INBOX,LANG_EN,ADS' end as labels
+      from mail m join named_lists n on m.id = n.id"""),
     "label_coverage": _with(
         MAIL, LABEL_DIM,
         "categories(rank, category) as (values "
@@ -452,6 +468,20 @@ ORACLE = {
              id, lang as category, body_text
       from placed, (values ('two each', 2), ('five each', 5)) c(candidate_id, each_n)
       where place_in <= each_n"""),
+    "few_shot_rows": _with(MAIL, SPLIT, """
+      placed as (select *, row_number() over (partition by lang order by hash, id) as place_in
+                 from split where split = 'train')""", then="""
+      select candidate_id, row_number() over (partition by candidate_id order by lang, place_in) - 1 as place,
+             id, lang as category, body_text
+      from placed, (values ('two hundred each', 200), ('five each', 5)) c(candidate_id, each_n)
+      where place_in <= each_n"""),
+    "registered_best": _registered_best(),
+    "distinct_over_days": _with(MAIL, then="""
+      select days, unnest(['id', 'from', 'size']) as column,
+             unnest([count(distinct id), count(distinct sender), count(distinct n_chars)]) as exact,
+             count(*) as row_count, 1 as is_close
+      from mail, (values ('first', date '2024-01-01'), ('all', date '2100-01-01')) d(days, last)
+      where cast(internal_ts as date) <= last group by days"""),
     "truth_join": _with(MAIL, TRUTH, then="""
       select m.id, m.subject, m.body_text, t.main_label as category, t.reason as truth_reason
       from mail m join truth t on m.id = t.id"""),

@@ -18,7 +18,7 @@ from ..operators import actions as act
 from ..operators import aggregates as agg
 from ..operators import bayes
 from ..operators import evaluation as ev
-from ..operators import label_sets, lookups, ordering, reports, sampling, scoring
+from ..operators import label_sets, lookups, ordering, reports, sampling, scoring, sketches
 from ..operators import predicates as pred
 from ..schemas import ACTION, REPORT, SAMPLE_COLUMNS, SCORED_CSV
 from ..session import work_dir
@@ -26,6 +26,7 @@ from ..sources import csv_files, tables
 from ..sources.ingest import MessageStore
 from ..sources.ledger import Ledger
 from ..sources.published import VERSION
+from ..sources.registry import Registry
 from ..streaming import incremental
 from . import jobs
 from . import table_views as views
@@ -124,6 +125,16 @@ def label_names_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("id", _joined("labels").alias("labels"))
 
 
+def label_names_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join where nine messages in ten hold one and the same list, and the rest one of their own."""
+    rows = views.mail(spark, sf_dir)
+    same = F.array(F.lit("INBOX"), F.lit("Label_en"), F.lit("Label_c1"))
+    own = F.concat("label_ids", F.array(F.concat(F.lit("own_"), "id"), F.lit("INBOX")))
+    skewed = rows.withColumn("label_ids", F.when(F.col("doc_id") % 10 == 0, own).otherwise(same))
+    named = lookups.name_labels(skewed, views.label_dim(spark, sf_dir), most=0)
+    return named.select("id", _joined("labels").alias("labels"))
+
+
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     covered = lookups.label_coverage(views.label_dim(spark, sf_dir))
     return covered.withColumn("present", F.col("present").cast("int"))
@@ -328,6 +339,28 @@ def category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.category_report(views.scored(spark, sf_dir))
 
 
+def distinct_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates over ranges of days from states of each day, beside exact counts.
+
+    `is_close` says that an estimate is within four standard errors.
+    """
+    rows = views.mail(spark, sf_dir).withColumn("day", F.to_date("internal_ts")).withColumn("size", F.col("n_chars"))
+    columns = ("id", "from", "size")
+    states = sketches.day_states(rows, F.col("day"), *columns)
+    root = work_dir(spark, "states")
+    states.write.parquet(root)
+    kept = spark.read.schema(states.schema).parquet(root)
+    parts = []
+    for name, first, last in (("first", "2024-01-01", "2024-01-01"), ("all", "2024-01-01", "2100-01-01")):
+        inside = F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+        told = sketches.estimates(kept.where(inside))
+        exact = rows.where(inside).agg(*[F.count_distinct(c).alias(c) for c in columns]).unpivot([], list(columns), "column", "exact")
+        close = F.abs(F.col("estimate") - F.col("exact")) <= 4 * sketches.relative_error() * F.col("exact") + 1
+        both = told.join(F.broadcast(exact), "column")
+        parts.append(both.select(F.lit(name).alias("days"), "column", "exact", "row_count", close.cast("int").alias("is_close")))
+    return parts[0].unionByName(parts[1])
+
+
 def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.distinct_values(views.scored(spark, sf_dir), "category", "from", "id").withColumnRenamed(
         "from", "senders"
@@ -388,6 +421,12 @@ def few_shot_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("candidate_id", "place", "demo.id", "demo.category", "demo.body_text")
 
 
+def few_shot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = sampling.train_val_split(views.by_language(spark, sf_dir))
+    rows = sampling.few_shot_rows(examples, {"two hundred each": 200, "five each": 5})
+    return rows.select("candidate_id", "place", "id", "category", "body_text")
+
+
 # Truth, comparison, evaluation
 
 
@@ -498,6 +537,20 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared
 
 
+def registered_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better of two saved candidates, read back and applied to all messages."""
+    root = work_dir(spark, "saved")
+    few = scoring.RuleScorer((("de", ("und",)), ("fr", ("dans",))))
+    many = scoring.RuleScorer((("de", ("und", "der")), ("fr", ("dans", "pour")), ("es", ("los", "del"))))
+    rows, scorers = views.by_language(spark, sf_dir), {"few words": few, "more words": many}
+    saved = Registry(spark, root)
+    saved.save("run", scorers, ev.evaluate_scorers(rows, scorers, max_body_chars=None))
+    again = Registry(spark, root)
+    best = again.best()
+    scored = scoring.score_messages(rows.drop("category"), again.scorer(best))
+    return scored.select(F.lit(best.candidate_id).alias("candidate_id"), "id", "category")
+
+
 def candidate_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "registry")
     results = _candidate_results(spark, sf_dir)
@@ -736,6 +789,7 @@ QUERIES = {
     "tidied_truth": tidied_truth,
     "label_names_mapped": label_names_mapped,
     "label_names_joined": label_names_joined,
+    "label_names_skewed": label_names_skewed,
     "label_coverage": label_coverage,
     "label_message_counts": label_message_counts,
     "ignored_label_counts": ignored_label_counts,
@@ -774,6 +828,9 @@ QUERIES = {
     "train_val_split": train_val_split,
     "split_distribution": split_distribution,
     "few_shot_sets": few_shot_sets,
+    "few_shot_rows": few_shot_rows,
+    "registered_best": registered_best,
+    "distinct_over_days": distinct_over_days,
     "truth_join": truth_join,
     "examples": examples,
     "label_mismatch": label_mismatch,

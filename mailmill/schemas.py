@@ -71,6 +71,13 @@ CANDIDATE_RESULT = StructType(
 )
 
 
+CANDIDATE = StructType(
+    _strings("candidate_id", "kind", "settings")
+    + [StructField("n", LongType()), StructField("n_correct", LongType())]
+    + [StructField("accuracy_pct", DoubleType())]
+)
+
+
 def extended(schema: StructType, **columns: str) -> StructType:
     """A copy with more columns, given by type name; `add` alone would change the original."""
     copy = StructType(list(schema.fields))
