@@ -110,12 +110,13 @@ def fold_split(df: DataFrame, folds: int = 5, seed: int = 42, key: str = "id") -
 
 
 def latest_per_id(df: DataFrame, newest: str, *ties: Column, key: str = "id") -> DataFrame:
-    """The newest copy of each id; `ties` order copies of the same time.
+    """The newest copy of each id; `ties` order copies of the same time, else a hash of the whole row.
 
     Spark keeps only the first copy of each id within every input partition
     before the shuffle, so an id with very many copies does not gather in one
     task.
     """
+    ties = ties or (F.sha2(F.to_json(F.struct(*df.columns)), 256),)
     order = Window.partitionBy(key).orderBy(F.col(newest).desc_nulls_last(), *ties)
     return df.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
 

@@ -282,6 +282,16 @@ _PROMPT = "'Subject: ' || subject || chr(10) || 'Body: ' || body_text"
 
 _MAIN_IGNORED = _sql_list((*IGNORED_LABELS, "Label_en", "Label_fr"))
 
+# Unread mail as the jobs read it from landing files, sorted by the rules of their queries.
+_JOB = (
+    MAIL, LABEL_DIM, "bodies as (select *, lower(subject || chr(10) || "
+    + _squeeze("concat_ws(chr(10), nullif(body_text, ''), nullif(" + _page_text("html") + ", ''))")
+    + ") as words from mail left join pages on page_id = doc_id where is_inbox and is_unread)",
+    "streamed as (select id, is_primary, "
+    + _rule_case("words", (("ADS", ("und", "der")), ("BANK_STATEMENTS", ("pour", "dans"))))
+    + " as category from bodies)",
+)
+
 ORACLE = {
     "unread_report": _with(
         MAIL, _rule_scores(TABLE_RULES), "unread as (select * from scores where is_inbox and is_unread)",
@@ -580,12 +590,37 @@ ORACLE = {
       select 'unread' as scope, '19Mar2026' as run_date, count(*) as row_count from mail
       where is_inbox and is_unread
       union all select 'inbox', '19Mar2026', count(*) from mail where is_inbox"""),
-    "incremental_actions": _with(MAIL, LABEL_DIM, "bodies as (select *, lower(subject || chr(10) || "
-        + _squeeze("concat_ws(chr(10), nullif(body_text, ''), nullif(" + _page_text("html") + ", ''))")
-        + ") as words from mail left join pages on page_id = doc_id where is_inbox and is_unread)",
-        "streamed as (select id, "
-        + _rule_case("words", (("ADS", ("und", "der")), ("BANK_STATEMENTS", ("pour", "dans"))))
-        + " as category from bodies)", then="""
+    "label_study": _with(MAIL, f"""
+      held as (select id, unnest(label_ids) as label from mail),
+      tags as (select id, [x for x in label_ids if x not in {_IGNORED}] as tags from mail),
+      ignored as (select i.label, count(distinct h.id) as n
+                  from (select unnest([%s]) as label) i left join held h on i.label = h.label group by i.label)
+      """ % _IGNORED.strip("()"), then=f"""
+      select 'tags' as section, row_number() over (order by label) as position, label as name, n
+      from (select label, count(distinct id) as n from held where label not in {_IGNORED} group by label)
+      union all select 'ignored', row_number() over (order by n desc, label), label, n from ignored
+      union all select 'tags_per_message', row_number() over (order by size), cast(size as varchar), n
+      from (select len(tags) as size, count(*) as n from tags group by 1)
+      union all select 'main_labels', row_number() over (order by n desc, name), name, n
+      from (select coalesce(tags[1], '') as name, count(*) as n from tags group by 1)
+      union all select 'categories', row_number() over (order by n desc, category nulls last), category, n
+      from (select category, count(*) as n from mail group by 1)"""),
+    "reviewed_sample": _with(MAIL, _sample("category", 10), then="""
+      select id, category, reason, body_text from sampled"""),
+    "compared_reviews": _with(MAIL, TRUTH, then="""
+      select 'all' as id, cast(count(*) as varchar) as n_both, cast(count(distinct old_label) as varchar) as old_labels,
+             cast(count(distinct new_label) as varchar) as new_labels,
+             cast(count(*) filter (coalesce(old_label <> new_label, true)) as varchar) as n_mismatch from compared
+      union all
+      select id, null, old_label, new_label, null from compared where coalesce(old_label <> new_label, true)"""),
+    "daily_job": _with(*_JOB, then="""
+      select s.id, s.category, c.label_id,
+             case when c.label_id is null then 'skipped' when s.id like '%7' then 'error' else 'applied' end as outcome,
+             case when c.label_id is null then 'no label' end as skip_reason,
+             case when c.label_id is not null and s.id like '%7' then 'PermissionError: read only' end as error
+      from streamed s left join category_label c on s.category = c.category"""),
+    "dry_run_job": _with(*_JOB, then="select id, category from streamed where is_primary"),
+    "incremental_actions": _with(*_JOB, then="""
       select s.id, s.category, c.label_id,
              case when c.label_id is null then 'skipped' else 'pending' end as outcome,
              case when c.label_id is null then 'no label' end as skip_reason

@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..categories import IGNORED_LABELS
 from ..functions import prompts
@@ -28,7 +29,7 @@ from ..sources.ledger import Ledger
 from ..sources.published import VERSION
 from ..sources.registry import Registry
 from ..streaming import incremental
-from . import jobs
+from . import jobs, study
 from . import table_views as views
 from .normalise import normalise_messages
 
@@ -715,6 +716,65 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored_csv(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{work_dir(spark, 'csv')}/scored"
+    rows = views.scored(spark, sf_dir).withColumn("labels", F.col("label_ids"))
+    csv_files.write_csv(rows.select(*SCORED_CSV.names), path)
+    return path
+
+
+def label_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is counted of a labelled CSV file."""
+    return study.study(study.read_scored(spark, _scored_csv(spark, sf_dir))).select("section", "position", "name", "n")
+
+
+def reviewed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten messages of each category taken from one CSV file into another."""
+    path = _scored_csv(spark, sf_dir)
+    study.sample_for_review(spark, path, f"{path}-sample", 10)
+    schema = StructType([StructField(c, StringType()) for c in SAMPLE_COLUMNS])
+    return csv_files.read_csv(spark, f"{path}-sample", schema).select("id", "category", "reason", "body_text")
+
+
+def compared_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reviewed files, and what became of their labels."""
+    root = work_dir(spark, "reviews")
+    reason = F.lit("reviewed").alias("reason")
+    for name, rows in (("old", views.predicted(spark, sf_dir)), ("new", pred.tidy_columns(views.truth(spark, sf_dir)))):
+        csv_files.write_csv(rows.select("id", "main_label", reason), f"{root}/{name}")
+    mismatches, counts = study.compare_reviews(spark, f"{root}/old", f"{root}/new")
+    told = counts.select(F.lit("all").alias("id"), *[F.col(c).cast("string").alias(c) for c in counts.columns])
+    rows = mismatches.select("id", F.lit(None).cast("string").alias("n_both"), F.col("old_label").alias("old_labels"),
+                             F.col("new_label").alias("new_labels"), F.lit(None).cast("string").alias("n_mismatch"))
+    return told.unionByName(rows)
+
+
+def _job(spark: SparkSession, sf_dir: str, purpose: str) -> jobs.Job:
+    root = work_dir(spark, purpose)
+    _records(views.raw(spark, sf_dir)).select("value").write.text(f"{root}/landing")
+    views.label_dim(spark, sf_dir).write.json(f"{root}/labels")
+    return jobs.Job(f"{root}/landing", f"{root}/labels", f"{root}/root", DAY, ledger_buckets=_BUCKETS)
+
+
+_JOB_RULES = (("ADS", ("und", "der")), ("BANK_STATEMENTS", ("pour", "dans")))
+
+
+def daily_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily run from landing files to applied labels, and once more on the same day."""
+    job = _job(spark, sf_dir, "daily")
+    for _ in range(2):
+        jobs.daily_run(spark, job, scoring.RuleScorer(_JOB_RULES), all_tabs=True, connect=_mailbox)
+    return tables.read_actions(spark, job.root).select("id", "category", "label_id", "outcome", "skip_reason", "error")
+
+
+def dry_run_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without actions: what was scored, and that nothing was done."""
+    job = _job(spark, sf_dir, "dry")
+    scored = jobs.daily_run(spark, job, scoring.RuleScorer(_JOB_RULES), dry_run=True)
+    done = tables.read_actions(spark, job.root)
+    return scored.select("id", "category").unionByName(done.select("id", F.concat(F.lit("done: "), "category").alias("category")))
+
+
 def _fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     unread = pred.in_scope(views.mail(spark, sf_dir), pred.UNREAD)
     return unread.select("id", "date", "internal_ts", "from", "subject", "body_text", F.col("label_ids").alias("labels"))
@@ -755,7 +815,7 @@ def incremental_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_dir(spark, "stream")
     raw = views.raw(spark, sf_dir)
     labels = views.label_dim(spark, sf_dir)
-    scorer = scoring.RuleScorer((("ADS", ("und", "der")), ("BANK_STATEMENTS", ("pour", "dans"))))
+    scorer = scoring.RuleScorer(_JOB_RULES)
     records = _records(raw)
     old = records.join(
         views.mail(spark, sf_dir).where(F.col("n_chars") < 2000).select("id"), "id", "left_semi"
@@ -853,6 +913,11 @@ QUERIES = {
     "landing_messages": landing_messages,
     "ingested_scope": ingested_scope,
     "csv_round_trip": csv_round_trip,
+    "label_study": label_study,
+    "reviewed_sample": reviewed_sample,
+    "compared_reviews": compared_reviews,
+    "daily_job": daily_job,
+    "dry_run_job": dry_run_job,
     "bronze_cache": bronze_cache,
     "run_manifest": run_manifest,
     "incremental_actions": incremental_actions,
