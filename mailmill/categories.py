@@ -24,6 +24,26 @@ CATEGORIES = (
     "OTHERS",
 )
 
+# What a client is told that the categories mean.
+MEANINGS = {
+    "OTP_AND_VERIFICATION": "codes and links that prove who someone is",
+    "SECURITY_ALERTS": "sign-ins, new devices, changed passwords, exports of an account",
+    "TRANSACTION_ALERT": "money that moved into or out of an account or a card",
+    "REFUNDS_REWARDS": "money or points given back",
+    "ADS": "offers and promotions of shops and services",
+    "UPDATES_NEWSLETTERS": "news of services, changed terms, welcome messages, newsletters",
+    "AMAZON_PAY": "anything of that wallet, before all other kinds of payment",
+    "AUTO_DEBIT_REMINDERS": "payments that will be taken later, mandates",
+    "JOB_OPPORTUNITIES": "openings, recruiters, the state of an application",
+    "ORDERS_SUBSCRIPTIONS": "orders, deliveries, renewals",
+    "INVESTMENTS_FINANCIAL_UPDATES": "funds, shares, dividends, votes of shareholders",
+    "BANKING_FINANCIAL_OFFERS": "loans, cards and accounts on offer",
+    "BANK_STATEMENTS": "statements of accounts and cards",
+    "TRAVEL_AND_EVENTS": "tickets, bookings, itineraries",
+    "SOCIAL_AND_PERSONAL": "people: invitations, requests, shared things",
+    "OTHERS": "what fits nowhere else",
+}
+
 # Labels owned by the mail service.
 IGNORED_LABELS = (
     "INBOX", "SENT", "DRAFT", "TRASH", "SPAM", "UNREAD", "STARRED",

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..categories import CATEGORIES, FALLBACK_CATEGORY
+from ..categories import CATEGORIES, FALLBACK_CATEGORY, MEANINGS
 from ..functions.prompts import (
     cut_body,
     default_instruction,
@@ -150,7 +150,7 @@ class ResponseScorer:
         categories: tuple[str, ...] = CATEGORIES,
     ):
         self.connect = connect
-        self.instruction = default_instruction() if instruction is None else instruction
+        self.instruction = default_instruction(categories, MEANINGS) if instruction is None else instruction
         self.send_sender = send_sender
         self.categories = categories
 
