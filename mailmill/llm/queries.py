@@ -67,7 +67,9 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge_quality(docs, BYTE_RANKS, PIECES).drop("text")
+    judged = judge_quality(docs, BYTE_RANKS, PIECES).drop("text")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in first])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
