@@ -165,7 +165,7 @@ def build_trie(whole: DataFrame, most: int = CONTAINER) -> DataFrame:
     equal = whole.groupBy("turns").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first"))
     equal = stored(equal.select(F.lit(ROOT).alias("head"), F.lit(0).cast("long").alias("depth"), "turns", "n", "first"), "suffixes")
     root = equal.agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 0")
-    root = root.select(F.lit(ROOT).alias("key"), F.lit(0).cast("long").alias("words"), "n", "first")
+    root = stored(root.select(F.lit(ROOT).alias("key"), F.lit(0).cast("long").alias("words"), "n", "first"), "root")
 
     heads, suffixes = root.select("key", "first"), equal.where(F.size("turns") > 0)
     rounds, rest = [], None
