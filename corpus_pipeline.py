@@ -6,7 +6,9 @@ Each stage takes all that the one before kept, and gives the columns of
 written to the shared work folder and read again.
 
 Rows without an id stay in every stage that names rows by id; null texts are
-empty texts; further columns are carried along.
+empty texts; further columns are carried along, whatever their names. Repeated rows
+become one in the third stage; an id with two texts keeps both, unless other texts
+are near copies of them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,20 +29,27 @@ from mailmill.llm.toxicity import score_toxicity, train_toxicity
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator needs beside the whole row, so that no names of columns meet."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network calls toxic go."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return score_toxicity(_rows(docs, "text"), model).where("predicted = 0").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that another document holds are cut; documents of which nothing is left go."""
-    cut = dedup_lines(docs)
-    if "n_chars" in docs.columns:
+    further = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = dedup_lines(docs.select("doc_id", "text", F.struct(*further).alias("_row")))
+    columns = {c: F.col("_row")[c] for c in further}
+    if "n_chars" in further:
         # The length is that of the text as it now is, where it was cut.
-        now = F.when(F.col("n_removed_words") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", now.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        now = F.when(F.col("n_removed_words") > 0, F.length("text")).otherwise(columns["n_chars"])
+        columns["n_chars"] = now.cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +57,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = near_duplicates(docs, links=False)
     gone = groups.where("doc_id is not null and doc_id != class_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Repeated rows of one id are copies too.
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    # Repeated rows of one id and text are copies too.
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(kept.where("doc_id is null"))
 
 
@@ -60,11 +69,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
-    coded = round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select(
-        "doc_id", "lang", "source", "text", "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    coded = round_trip(_rows(docs, "text"), public_tokenizers.path("word_bpe_49k.json"))
+    added = {
+        "ids": F.col("ids"), "n_tokens": F.size("ids").cast("long"),
+        "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256),
+    }
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in added]
+    return coded.select(*own, *[column.alias(name) for name, column in added.items()])
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -76,7 +87,7 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 ORACLE_SQL: str | None = None
-"""No SQL trains a network; the stages are tested against plain versions instead."""
+"""No SQL trains a network; `run` is tested on tables of planted cases instead."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
