@@ -25,30 +25,37 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; texts of a class are held together by links."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the tokens of every document, and the digest of what they decode to."""
     return bpe_digest(round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the sentences of every document name."""
     return licences.licence_digest(licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under n-grams of those that are not held out."""
     return ngrams.score_texts(table(spark, sf_dir, "documents"), ngrams.trained())
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that another one keeps; those that lose all words go."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rules, else by what its host is linked with."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, with the best measures of their passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contaminated(docs, table(spark, sf_dir, "benchmark"))
     best = (F.count("*").alias("n_passages"), F.max("share").alias("share"), F.max("cosine").alias("cosine"))
@@ -56,6 +63,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a network trained on labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -66,6 +74,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, whether it is kept, and the measures of its tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = judge_quality(docs, BYTE_RANKS, PIECES).drop("text")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -73,20 +82,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of the base kinds, their digest, all spans."""
     return pii_digest(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the letters of its cheapest repair, the digest of the result."""
     conversations = table(spark, sf_dir, "conversations")
     return with_untouched(repair_digest(repair(damage(conversations))), conversations)
 
 
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
     whole = stored(burst.rebuilt(burst.sequences(table(spark, sf_dir, "conversations"))), "rebuilt")
     return burst.trie_digest(burst.build_trie(whole), whole)
 
 
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a field learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langcrf.predict_languages(docs, langcrf.train_languages(docs))
     return found.select("doc_id", langcrf.held_out().alias("held_out"), "lang_pred", "score")
