@@ -315,7 +315,7 @@ def client_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bayes_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages learnt from the train rows, predicted for the others."""
-    examples = sampling.train_val_split(views.by_language(spark, sf_dir))
+    examples = _kept(sampling.train_val_split(views.by_language(spark, sf_dir)), "split")
     model = bayes.train_bayes(examples.where(F.col("split") == sampling.TRAIN))
     val = examples.where(F.col("split") == sampling.VAL).withColumnRenamed("category", "truth")
     return scoring.score_messages(val, bayes.BayesScorer(model))
@@ -385,6 +385,13 @@ def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Samples and splits
 
 
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once, for what reads them several times."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return sampling.stratified_sample(views.by_language(spark, sf_dir), n).select("id", "category")
 
@@ -416,14 +423,14 @@ def split_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def few_shot_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = sampling.train_val_split(views.by_language(spark, sf_dir))
+    examples = _kept(sampling.train_val_split(views.by_language(spark, sf_dir)), "split")
     sets = sampling.few_shot_sets(examples, {"two each": 2, "five each": 5})
     shown = sets.select("candidate_id", F.posexplode("demonstrations").alias("place", "demo"))
     return shown.select("candidate_id", "place", "demo.id", "demo.category", "demo.body_text")
 
 
 def few_shot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = sampling.train_val_split(views.by_language(spark, sf_dir))
+    examples = _kept(sampling.train_val_split(views.by_language(spark, sf_dir)), "split")
     rows = sampling.few_shot_rows(examples, {"two hundred each": 200, "five each": 5})
     return rows.select("candidate_id", "place", "id", "category", "body_text")
 
@@ -521,7 +528,7 @@ def baseline_and_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_validated_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of four folds on the fifth, learnt from subjects or from whole messages."""
-    rows = views.by_language(spark, sf_dir)
+    rows = _kept(views.by_language(spark, sf_dir), "examples")
     texts = {"subject": F.col("subject"), "whole": bayes.message_text()}
     results = ev.cross_validate(rows, texts)
     return results.groupBy("candidate_id", "fold").agg(F.count("*").alias("n"), F.count_if("is_right").alias("n_correct"))
