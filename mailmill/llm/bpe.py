@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 from tokenizers import Tokenizer
 
-from mailmill.llm.tables import ship
+from mailmill.llm.tables import give_back, ship
 
 REMEMBERED_BYTES = 48 << 20
 _ENTRY = 200
@@ -105,6 +105,11 @@ class Vocabulary:
         self.words = _Remembered(self.encode_word)
         self.parts = _Remembered(self.round_trip_part)
 
+    def forget(self) -> None:
+        for remembered in (self.pieces, self.words, self.parts):
+            remembered.clear()
+            remembered.held = 0
+
     def symbols(self, token: str) -> list[str]:
         """Byte symbols of a token as the vocabulary writes it; the last may carry the word's end."""
         if self.end and token.endswith(self.end) and token != self.end:
@@ -284,12 +289,15 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     ship(docs.sparkSession)
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(path)
-        packed, shown = zip(*[words.round_trip(text.as_py() or "") for text in texts]) if len(texts) else ((), ())
-        offsets = pa.array(np.cumsum([0, *map(len, packed)]) // 4, pa.int32())
-        ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
-        return pa.StructArray.from_arrays([ids, pa.array(shown, pa.string())], fields=list(_BOTH))
+        for texts in batches:
+            packed, shown = zip(*[words.round_trip(text.as_py() or "") for text in texts]) if len(texts) else ((), ())
+            offsets = pa.array(np.cumsum([0, *map(len, packed)]) // 4, pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array(shown, pa.string())], fields=list(_BOTH))
+        words.forget()
+        give_back()
 
     own = docs.select("*", both(F.col(text)).alias("_bpe"))
     return own.withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailmill.llm.tables import ship, stored
+from mailmill.llm.tables import ship, stored, tidy
 from mailmill.operators.bounded import broadcast_if_small
 
 FOLD = 3
@@ -139,6 +139,7 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, l
         yield at, some
 
 
+@tidy
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("key").to_numpy()
@@ -171,6 +172,7 @@ def _unpacked(packed: pa.Array) -> Iterator[bytes]:
     return (tool.decompress(x.as_py()) for x in packed)
 
 
+@tidy
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each wanted run of chunks, and of what stands beside it."""
     names = ["key", "first", "last", "start", "end", "left", "body", "right"]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,29 @@ def ship(spark: SparkSession) -> None:
     context._mailmill_shipped = True
 
 
+def give_back() -> None:
+    """Returns freed memory to the system.
+
+    Workers are used again by later stages; one that keeps what an earlier stage
+    needed takes it from the executor for good.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a partition that gives memory back when it ends."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The rows written to the shared work folder and read again.
 

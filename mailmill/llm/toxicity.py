@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailmill.llm.tables import ship
+from mailmill.llm.tables import give_back, ship
 
 WINDOW, STRIDE = 24, 12
 MOST_TRAINING = 1500
 TRAINING_CHARS = 20_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 WORD_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 14
 WIDTH, STATE, ATTENTION = 20, 10, 8
 EPOCHS, BATCH, RATE = 7, 192, 0.01
@@ -340,10 +340,12 @@ def score_toxicity(docs: DataFrame, model: Parameters | None, text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        raw = [x.as_py() or "" for x in texts]
-        parts = [score_texts(shared.value, some) for some in _slices(raw)]
-        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            raw = [x.as_py() or "" for x in texts]
+            parts = [score_texts(shared.value, some) for some in _slices(raw)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        give_back()
 
     scored = docs.withColumn("score", score(F.col(text)))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
