@@ -6,7 +6,8 @@
               coordinates by a hash of its path, on average 1 / similarity of
               them, and each class goes on to the bucket of the value it has
               there. Buckets of SMALL classes or fewer are compared at once, the
-              others are split again, up to DEEPEST times
+              others are split again, up to DEEPEST times, but for those whose members
+              all agree with one of them
     compared  small buckets give all their pairs, larger ones the pairs with two of
               their members; pairs whose sketches are too far apart are left
               out, the others are compared by their exact shingle sets
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailmill.llm.lines import mixed, slices, word_hashes, words_of
-from mailmill.llm.tables import ship, stored
+from mailmill.llm.tables import ship, stored, tidy
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 COORDINATES = 64
@@ -106,6 +107,7 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x.as_py() or b"" for x in batch.column(name).cast(pa.binary())]
 
 
+@tidy
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("class")
@@ -198,15 +200,21 @@ def buckets(sketches: DataFrame, runs: range, similarity: float) -> tuple[DataFr
     level = stored(sketches.mapInArrow(_first_paths(runs, chosen), "class long, path long"), "paths")
     ended, depth = [], 1
     while True:
-        sizes = level.groupBy("path").count().where("count > 1")
+        sizes = level.groupBy("path").agg(F.count("*").alias("count"), F.min("class").alias("hub")).where("count > 1")
         if depth >= DEEPEST:
             ended.append(level.join(sizes.select("path"), "path"))
             break
-        small, large = sizes.where(F.col("count") <= SMALL).select("path"), stored(sizes.where(F.col("count") > SMALL).select("path"), "large")
+        small, large = sizes.where(F.col("count") <= SMALL).select("path"), stored(sizes.where(F.col("count") > SMALL).select("path", "hub"), "large")
         ended.append(level.select("path", "class").join(small, "path"))
         if large.isEmpty():
             break
-        split = level.select("path", "class").join(large, "path").join(sketches, "class").select("class", "path", "sketch")
+        # A bucket all of whose members agree with one of them is a group as it is. Its star is
+        # compared, and all of it where links do not hold it together.
+        hubs = large.join(sketches.select(F.col("class").alias("hub"), F.col("sketch").alias("own")), "hub")
+        inside = stored(level.select("path", "class").join(hubs, "path").join(sketches, "class").select("class", "path", "sketch", (F.arrow_udf(_agreement, "double")("sketch", "own") >= similarity - SLACK).alias("agrees")), "inside")
+        settled = inside.groupBy("path").agg(F.min("agrees").alias("settled"))
+        ended.append(inside.select("path", "class").join(settled.where("settled").select("path"), "path"))
+        split = inside.drop("agrees").join(settled.where("not settled").select("path"), "path").select("class", "path", "sketch")
         level = stored(split.mapInArrow(_path_rows(depth, chosen), "class long, path long, sketch binary").select("class", "path"), "paths")
         depth += 1
     out = ended[0].select("path", "class")
