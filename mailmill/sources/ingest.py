@@ -6,8 +6,9 @@ flags and the time as columns, bad ones as their text with the reason. What the
 takes is noted before; the commit of the store alone makes it count. So a run that
 stops leaves its files to the next one.
 
-The store lies by day of ingest and is dealt by scope flags, so that files hold one
-combination of them and a scope reads its own files only.
+The store lies by day of ingest and scope flags, so that files hold one combination of
+them and a scope reads its own files only. Each task writes its own files; records are
+not shuffled on the way.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .published import PublishedTable
 MESSAGE, REJECT = "message", "reject"
 BAD_LINE, NO_ID = "not a JSON object of the schema", "no id"
 _LINE = "_corrupt_record"
-_SPREAD = 256
+FLAGS = ("is_inbox", "is_unread", "is_primary")
 _FILE_URI = "_metadata.file_path"
 
 FILE = StructType([
@@ -40,7 +41,7 @@ FILE = StructType([
 STORED = StructType([
     *[StructField(f.name, f.dataType) for f in RAW.fields],
     StructField("internal_ts", TimestampType()),
-    *[StructField(name, BooleanType()) for name in ("is_inbox", "is_unread", "is_primary")],
+    *[StructField(name, BooleanType()) for name in FLAGS],
     StructField("arrived", TimestampType()), StructField("file", StringType()), StructField("row", LongType()),
     StructField("reject_reason", StringType()), StructField("line", StringType()), StructField("kind", StringType()),
 ])
@@ -55,7 +56,7 @@ class MessageStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.rows = PublishedTable(f"{root}/ingested", STORED, ("ingest_day", "batch"), inner=("kind",))
+        self.rows = PublishedTable(f"{root}/ingested", STORED, ("ingest_day", "batch"), inner=("kind", *FLAGS))
         self.files = PublishedTable(f"{root}/ingested_files", FILE, ("batch",))
 
     def taken_files(self) -> DataFrame:
@@ -96,7 +97,7 @@ class MessageStore:
             raw = raw.join(paths, "uri", "left_semi")
         reason = F.when(F.col(_LINE).isNotNull(), BAD_LINE).when(F.col("id").isNull(), NO_ID)
         flags = scope_flags(F.col("labelIds"))
-        rows = raw.select(
+        return raw.select(
             *[F.when(reason.isNull(), F.col(c)).alias(c) for c in RAW.names],
             F.when(reason.isNull(), F.timestamp_millis(epoch_millis(F.col("internalDate")))).alias("internal_ts"),
             *[F.when(reason.isNull(), test).alias(name) for name, test in flags.items()],
@@ -106,8 +107,6 @@ class MessageStore:
             F.when(reason.isNotNull(), F.coalesce(_LINE, F.to_json(F.struct(*RAW.names)))).alias("line"),
             F.when(reason.isNull(), MESSAGE).otherwise(REJECT).alias("kind"),
         )
-        spread = F.pmod(F.xxhash64("file", "row"), F.lit(_SPREAD))
-        return rows.repartitionByRange("kind", "is_inbox", "is_unread", "is_primary", spread)
 
     def messages(self, scope: str, since: date | None = None) -> DataFrame:
         """The newest copy of each message, of those that are in scope now.

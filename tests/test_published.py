@@ -275,3 +275,16 @@ def test_a_batch_that_stopped_between_its_tables_goes_on(spark, job, monkeypatch
     assert rows(got, "id") == [("01",), ("02",), ("03",), ("05",)]
     scored = incremental.read_stream_table(spark, f"{job.root}/scored", SCORED)
     assert rows(scored, "id") == rows(got, "id")
+
+
+def test_store_takes_records_without_a_shuffle(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.json").write_text('{"id":"1","labelIds":["INBOX","UNREAD"]}\n{"id":"2","labelIds":[]}\nno json\n')
+    store = MessageStore(spark, f"{tmp_path}/root")
+    files = spark.createDataFrame([(f"{landing}/a.json", f"file://{landing}/a.json")], "path string, uri string")
+    plan = store._parsed(f"{landing}", files)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    store.ingest(f"{landing}", DAY)
+    assert store.rejects().count() == 1
+    assert list(tmp_path.glob("root/ingested/data/*/*/*/kind=message/is_inbox=true/is_unread=true/*/*.parquet"))
