@@ -131,6 +131,14 @@ def parse_json(text: str):
     return top[0]
 
 
+def _parsed(text: str):
+    """The value that `parse_json` gives; token by token only where it is too deep for the built-in reader."""
+    try:
+        return json.loads(text, strict=False)
+    except RecursionError:
+        return parse_json(text)
+
+
 def _text_or_none(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value)
 
@@ -143,7 +151,7 @@ def list_text_parts(payload: str | None) -> list[dict] | None:
 def walk_payload(payload: str) -> dict:
     """Headers and text parts of one payload, or why there are none."""
     try:
-        whole = parse_json(payload)
+        whole = _parsed(payload)
     except ValueError:
         return {"headers": None, "leaves": [], "error": NOT_JSON}
     if not isinstance(whole, dict):

@@ -258,6 +258,16 @@ def deep_payload(levels, inner='{"mimeType":"text/plain","body":{"data":"aGk="}}
     return '{"headers":[{"name":"Subject","value":"s"}],"parts":[' + '{"parts":[' * levels + inner + "]}" * levels + "]}"
 
 
+@pytest.mark.parametrize("levels, by_token", [(1000, False), (30_000, True)])
+def test_deep_payloads_are_read_token_by_token_only_where_they_must(monkeypatch, levels, by_token):
+    calls, plain = [], payload.parse_json
+    monkeypatch.setattr(payload, "parse_json", lambda text: calls.append(1) or plain(text))
+    text = '{"parts":[' * levels + '{"mimeType":"text/plain","body":{"data":"YQ"}}' + "]}" * levels
+    assert payload.walk_payload(text)["leaves"] == [{"mime": "text/plain", "data": "YQ"}]
+    assert bool(calls) == by_token
+    assert payload.walk_payload(text[:-1])["error"] == payload.NOT_JSON
+
+
 def test_payloads_of_any_depth_and_of_no_json(spark):
     cases = [(0, "hi", None), (5, "hi", None), (6, "hi", None), (7, "hi", None), (480, "hi", None), (600, "hi", None), (5000, "hi", None)]
     data = [(deep_payload(n), body, error) for n, body, error in cases]
