@@ -4,7 +4,7 @@
               all documents; terms in more than COMMON of the texts weigh nothing
     basis     randomised SVD of TF-IDF passages: the items and the passages of a
               sample of at most MOST_SAMPLED documents. Tasks multiply their rows,
-              the driver adds their products, whose size the items fix
+              the driver adds their products one by one; the items fix their size
     search    every passage of every document against all items by cosine in the
               basis; a passage is PASSAGE words long and begins every half passage
     check     of what is near enough: the longest common subsequence of words of
@@ -21,7 +21,7 @@ without words, match nothing. Repeated rows are judged alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailmill.llm.lines import slices, word_hashes, words_of
-from mailmill.llm.tables import ship
+from mailmill.llm.tables import give_back, ship
 
 PASSAGE = 48
 COMMON = 0.1
@@ -287,8 +287,11 @@ def _products(index: Index, right: np.ndarray, gram: bool):
     return rows
 
 
-def _sum(rows: list, shape: tuple[int, int]) -> np.ndarray:
-    return sum((np.frombuffer(r.product, np.float64).reshape(shape) for r in rows), np.zeros(shape))
+def _sum(rows: Iterable, shape: tuple[int, int]) -> np.ndarray:
+    total = np.zeros(shape)
+    for row in rows:
+        total += np.frombuffer(row.product, np.float64).reshape(shape)
+    return total
 
 
 def build_index(docs: DataFrame, items: Items, seed: int = 3) -> Index:
@@ -312,10 +315,10 @@ def build_index(docs: DataFrame, items: Items, seed: int = 3) -> Index:
     width = min(RANK + OVERSAMPLED, len(terms))
     right = np.random.default_rng(seed).standard_normal((len(terms), width))
     for _ in range(2):
-        product = _sum(sample.mapInArrow(_products(plain, right, False), "product binary").collect(), right.shape)
+        product = _sum(sample.mapInArrow(_products(plain, right, False), "product binary").toLocalIterator(), right.shape)
         # The items count as passages as well, with a weight that keeps their directions.
         right, _ = np.linalg.qr(product + len(rows) * rows.T @ (rows @ right))
-    gram = _sum(sample.mapInArrow(_products(plain, right, True), "product binary").collect(), (width, width))
+    gram = _sum(sample.mapInArrow(_products(plain, right, True), "product binary").toLocalIterator(), (width, width))
     projected = rows @ right
     _, vectors = np.linalg.eigh(gram + len(rows) * projected.T @ projected)
     sample.unpersist()
@@ -333,7 +336,10 @@ def item_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
         own = ranked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = read_items([(r.item_id, r.text) for r in own])
         if items.ids:
-            yield spark.sparkContext.broadcast(build_index(docs, items))
+            shared = spark.sparkContext.broadcast(build_index(docs, items))
+            # The driver does not keep what making the index took.
+            give_back()
+            yield shared
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -328,7 +328,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING
     sample = sorted(texts.select("doc_id", "text", "toxic").collect())
     if len({r.toxic for r in sample}) < 2:
         return None
-    return train([r.text for r in sample], [r.toxic for r in sample])
+    model = train([r.text for r in sample], [r.toxic for r in sample])
+    del sample
+    # The driver does not keep what the training took.
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Parameters | None, text: str = "text") -> DataFrame:

@@ -233,6 +233,17 @@ def test_decontamination_against_plain_search(spark, docs_of):
     assert decontaminate.find_contaminated(docs_of(rows), bench.limit(0)).collect() == []
 
 
+def test_products_come_to_the_driver_one_by_one(spark, docs_of, monkeypatch):
+    rnd = random.Random(9)
+    docs = docs_of([(i, prose(rnd, 200)) for i in range(40)])
+    items = decontaminate.read_items([(1, prose(rnd, 40)), (2, prose(rnd, 30))])
+    kind, taken = type(docs), []
+    plain = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: taken.append(self.columns) or plain(self))
+    index = decontaminate.build_index(docs, items)
+    assert len(index.matrix) == 2 and ["product"] not in taken
+
+
 def test_lcs():
     rnd = random.Random(1)
     for _ in range(200):
