@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-    terms     words of the benchmark items and how many texts hold them, counted over
-              all documents; terms in more than COMMON of the texts weigh nothing
-    basis     randomised SVD of TF-IDF passages: the items and the passages of a
-              sample of at most MOST_SAMPLED documents. Tasks multiply their rows,
-              the driver adds their products one by one; the items fix their size
+    terms     words of the benchmark items, how many texts hold each, and how often two
+              stand in one half passage, counted over all documents; terms in more than
+              COMMON of the texts weigh nothing
+    basis     randomised SVD of the TF-IDF of all half passages, from those counts: their
+              sums lie in stripes of rows that tasks multiply, the driver takes the products
+              one by one. The items count as much as all documents together
     search    every passage of every document against all items by cosine in the
               basis; a passage is PASSAGE words long and begins every half passage
     check     of what is near enough: the longest common subsequence of words of
@@ -12,7 +13,8 @@
               last sentence, where the subsequence alone does not decide
 
 Items come in blocks of BLOCK items, so that what is broadcast is bounded; each
-block is one pass over the documents. Every passage of a whole text is compared
+block is one pass over the documents to count and one to search. Counts of pairs take
+MOST_CELLS numbers a task: a block of more terms than fit is counted in further passes. Every passage of a whole text is compared
 with every item of the block; nothing is capped. No shuffle of texts.
 
 Words are runs of letters and digits, lower-cased. Null and empty texts, and items
@@ -21,21 +23,24 @@ without words, match nothing. Repeated rows are judged alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailmill.llm.lines import slices, word_hashes, words_of
-from mailmill.llm.tables import give_back, ship
+from mailmill.llm.tables import give_back, ship, stored, tidy
 
 PASSAGE = 48
 COMMON = 0.1
 RANK, OVERSAMPLED = 160, 32
-MOST_SAMPLED, SAMPLED_CHARS = 2000, 20_000
+MOST_CELLS, STRIPE_CELLS = 1 << 24, 1 << 18
+MOST_MET = 1 << 25
+"""Words after which a task sends its counts, which stay below 2**31."""
 COSINE = 0.42
 SURE, LIKELY, ANSWER = 0.6, 0.45, 0.8
 LEAST_ANSWER = 3
@@ -191,6 +196,13 @@ def common_at_most(term: np.ndarray, item: np.ndarray, low: np.ndarray, high: np
     return out
 
 
+def covered(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers that lie in any of the stretches, rising; both ends rise."""
+    low = np.maximum(low, np.concatenate([[0], high[:-1]]))
+    n = np.maximum(high - low, 0)
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def near_passages(vectors: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, item and cosine of all pairs that are near enough, item by item."""
     found = []
@@ -217,17 +229,18 @@ def search(texts: list[bytes], index: Index) -> list[tuple[int, int, int, float,
     for q in np.flatnonzero(np.diff(edges)):
         mine = slice(edges[q], edges[q + 1])
         own = np.searchsorted(index.terms, index.items.words[q])
+        begin, text = first[passage[mine]], owner[passage[mine]]
+        # The surroundings reach as far as an item that overlaps the passage.
+        left, right = np.maximum(begin - len(own), ends[text] - counts[text]), np.minimum(begin + PASSAGE + len(own), ends[text])
+        near = covered(np.searchsorted(place, left), np.searchsorted(place, right))
         # The item's words by small numbers, which sort fast; 0 is any other word.
         distinct = np.unique(own)
         number = np.zeros(len(index.terms), np.uint16 if len(distinct) < 1 << 16 else np.uint32)
         number[distinct] = np.arange(1, len(distinct) + 1)
-        own, term = number[own], number[at]
+        own, term = number[own], number[at[near]]
         shared = np.flatnonzero(term != 0)
-        there, term = place[shared], term[shared]
-        begin, text = first[passage[mine]], owner[passage[mine]]
-        # The surroundings reach as far as an item that overlaps the passage.
-        low = np.searchsorted(there, np.maximum(begin - len(own), ends[text] - counts[text]))
-        high = np.searchsorted(there, np.minimum(begin + PASSAGE + len(own), ends[text]))
+        there, term = place[near[shared]], term[shared]
+        low, high = np.searchsorted(there, left), np.searchsorted(there, right)
         listed, answer = own.tolist(), index.items.answers[q]
         # Few passages share enough words to have them in order.
         some = np.flatnonzero(high - low >= LIKELY * len(own))
@@ -245,62 +258,142 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x.as_py() or b"" for x in batch.column("text").cast(pa.binary())]
 
 
-def _frequencies(terms: np.ndarray):
-    """How many texts there are, as the term -1, and how many hold each term."""
+def count_pairs(cells: np.ndarray, low: int, segment: np.ndarray, at: np.ndarray) -> None:
+    """Adds how often two terms stand in one half passage; `cells` has a row for each term from `low` on.
+
+    Where the rows are all terms, a pair is added under the one that comes first in the text
+    only, else under each that has a row.
+    """
+    high, n = low + len(cells), cells.shape[1]
+    flat, one = cells.reshape(-1), np.int32(1)
+
+    def add(rows: np.ndarray, columns: np.ndarray) -> None:
+        if len(cells) < n:
+            inside = np.flatnonzero((rows >= low) & (rows < high))
+            rows, columns = rows[inside], columns[inside]
+        np.add.at(flat, (rows - low) * np.int64(n) + columns, one)
+
+    # A half passage has PASSAGE // 2 words.
+    for step in range(1, PASSAGE // 2):
+        same = np.flatnonzero(segment[step:] == segment[:-step])
+        if not len(same):
+            break
+        add(at[same], at[same + step])
+        if len(cells) < n:
+            add(at[same + step], at[same])
+
+
+def pair_stripes(cells: np.ndarray, low: int, occurs: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First term and rows of each stripe of the sum over half passages of t t', t being how often each term occurs."""
+    n = cells.shape[1]
+    step = max(1, most // n)
+    for i in range(0, len(cells), step):
+        rows = cells[i : i + step]
+        rows = rows + cells[:, i : i + step].T if len(cells) == n else rows.copy()
+        own = np.arange(len(rows))
+        rows[own, low + i + own] += occurs[low + i : low + i + len(rows)]
+        if rows.any():
+            yield low + i, rows
+
+
+def _counts(terms: np.ndarray, low: int, high: int, in_stripe: int, most_met: int):
+    """Stripes of counts of pairs of the terms from `low` to `high`. With those from 0 on, as the
+    stripe -1, how many texts there are and how many hold each term."""
+    n = len(terms)
     seen = np.zeros(1 << 18, bool)
     seen[(terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
+    def stripe(first: int, numbers: np.ndarray) -> pa.RecordBatch:
+        packed = zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([packed], pa.binary())], names=["stripe", "cells"])
+
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = 0, np.zeros(len(terms), np.int64)
+        cells, occurs = np.zeros((high - low, n), np.int32), np.zeros(n, np.int32)
+        total, held, met = 0, np.zeros(n, np.int64), 0
         for batch in batches:
             for _, some in slices(_texts(batch)):
                 words, counts = tokens(some)
                 place, at = find_terms(words, terms, seen)
-                text = np.searchsorted(np.cumsum(counts), place, side="right")
-                both = np.unique(text * np.int64(len(terms)) + at)
-                held += np.bincount(both % len(terms), minlength=len(terms))
-                total += len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms)), pa.int32()), pa.array(np.append(total, held), pa.int64())], names=["term", "n"])
+                if low == 0:
+                    text = np.searchsorted(np.cumsum(counts), place, side="right")
+                    held += np.bincount(np.unique(text * np.int64(n) + at) % n, minlength=n)
+                    total += len(some)
+                first, _, _ = segments_of(counts)
+                count_pairs(cells, low, np.searchsorted(first, place, side="right") - 1, at)
+                occurs += np.bincount(at, minlength=n).astype(np.int32)
+                met += len(words)
+                if met >= most_met:
+                    for i, part in pair_stripes(cells, low, occurs, in_stripe):
+                        yield stripe(i, part)
+                    cells[:], occurs[:], met = 0, 0, 0
+        if low == 0:
+            yield stripe(-1, np.append(held, total))
+        for i, part in pair_stripes(cells, low, occurs, in_stripe):
+            yield stripe(i, part)
 
     return rows
 
 
-def _products(index: Index, right: np.ndarray, gram: bool):
-    """The sum over passages a of a a' right, or of right' a a' right, as one packed row."""
+def _unpacked(row: dict) -> np.ndarray:
+    kind = np.int64 if row["stripe"] < 0 else np.int32
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["cells"]), kind).astype(np.int64)
+
+
+@tidy
+def _stripe_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each stripe; those of one stripe come beside each other."""
+    stripe, total = None, np.zeros(0, np.int64)
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["stripe", "cells"])
+
+    for batch in batches:
+        for part in batch.to_pylist():
+            if part["stripe"] != stripe:
+                if stripe is not None:
+                    yield row()
+                stripe, total = part["stripe"], np.int64(0)
+            total = total + _unpacked(part)
+    if stripe is not None:
+        yield row()
+
+
+def _products(weight: np.ndarray, right: np.ndarray):
+    """Of each stripe its part of x right, x being the sum of a a' over half passages a; and of the trace of x."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(index.terms)
-        total = np.zeros((right.shape[1] if gram else n, right.shape[1]))
         for batch in batches:
-            words, counts = tokens(_texts(batch))
-            first, _, _ = segments_of(counts)
-            place, at = index.weighty(words)
-            segment = np.searchsorted(first, place, side="right") - 1
-            for low in range(0, len(first), 1000):
-                inside = (segment >= low) & (segment < low + 1000)
-                x = np.zeros((1000, n), np.float32)
-                np.add.at(x, (segment[inside] - low, at[inside]), index.weight[at[inside]])
-                y = _unit(x) @ right
-                total += y.T @ y if gram else _unit(x).T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["product"])
+            for part in batch.to_pylist():
+                first = part["stripe"]
+                x = np.frombuffer(part["cells"], np.int64).reshape(-1, len(weight)).astype(float)
+                own = weight[first : first + len(x)]
+                trace = float((x[np.arange(len(x)), first + np.arange(len(x))] * own**2).sum())
+                product = own[:, None] * (x @ (weight[:, None] * right))
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([product.tobytes()], pa.binary()), pa.array([trace])], names=["stripe", "product", "trace"])
 
     return rows
 
 
-def _sum(rows: Iterable, shape: tuple[int, int]) -> np.ndarray:
-    total = np.zeros(shape)
-    for row in rows:
-        total += np.frombuffer(row.product, np.float64).reshape(shape)
-    return total
+def count_terms(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(stripe, cells): the counts of `_counts` over all documents, stored."""
+    n = len(terms)
+    step = max(1, MOST_CELLS // n)
+    counted = None
+    for low in range(0, n, step):
+        some = docs.select("text").mapInArrow(_counts(terms, low, min(low + step, n), STRIPE_CELLS, MOST_MET), "stripe int, cells binary")
+        counted = some if counted is None else counted.unionByName(some)
+    dealt = counted.repartition("stripe").sortWithinPartitions("stripe")
+    return stored(dealt.mapInArrow(_stripe_sums, "stripe int, cells binary"), "term-pairs")
 
 
 def build_index(docs: DataFrame, items: Items, seed: int = 3) -> Index:
     terms = np.unique(np.concatenate(items.words))
-    counted = docs.select("text").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    # One number for each word of the block's items.
-    held = {r.term: r.n for r in counted.collect()}
-    total = max(held.get(-1, 0), 1)
-    df = np.array([held.get(i, 0) for i in range(len(terms))], float)
+    counted = count_terms(docs, terms)
+    # One number for each word of the block's items, and the number of texts; no row where there are no texts.
+    told = counted.where("stripe < 0").first()
+    held = np.frombuffer(told.cells, np.int64) if told else np.zeros(len(terms) + 1, np.int64)
+    total, df = max(int(held[-1]), 1), held[:-1].astype(float)
     weight = np.where(df > COMMON * total, 0.0, np.log((total + 1) / (df + 1)) + 0.1)
     if not weight.any():
         weight[:] = 1.0
@@ -310,18 +403,22 @@ def build_index(docs: DataFrame, items: Items, seed: int = 3) -> Index:
         place, at = plain.weighty(w)
         np.add.at(rows[i], at, weight[at])
     rows = _unit(rows)
-    sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLED_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_SAMPLED).select("text").repartition(8)
-    sample = sample.persist()
+    pairs = counted.where("stripe >= 0")
+
+    def times(right: np.ndarray) -> np.ndarray:
+        """The product with the documents' matrix and the items', both of trace 1."""
+        product, trace = np.zeros(right.shape), 0.0
+        for part in pairs.mapInArrow(_products(weight, right), "stripe int, product binary, trace double").toLocalIterator():
+            some = np.frombuffer(part.product).reshape(-1, right.shape[1])
+            product[part.stripe : part.stripe + len(some)] = some
+            trace += part.trace
+        return product / (trace or 1.0) + rows.T @ (rows @ right) / len(rows)
+
     width = min(RANK + OVERSAMPLED, len(terms))
     right = np.random.default_rng(seed).standard_normal((len(terms), width))
     for _ in range(2):
-        product = _sum(sample.mapInArrow(_products(plain, right, False), "product binary").toLocalIterator(), right.shape)
-        # The items count as passages as well, with a weight that keeps their directions.
-        right, _ = np.linalg.qr(product + len(rows) * rows.T @ (rows @ right))
-    gram = _sum(sample.mapInArrow(_products(plain, right, True), "product binary").toLocalIterator(), (width, width))
-    projected = rows @ right
-    _, vectors = np.linalg.eigh(gram + len(rows) * projected.T @ projected)
-    sample.unpersist()
+        right, _ = np.linalg.qr(times(right))
+    _, vectors = np.linalg.eigh(right.T @ times(right))
     basis = right @ vectors[:, ::-1][:, : min(RANK, width)]
     return Index(terms, weight, basis, items)
 

@@ -233,6 +233,51 @@ def test_decontamination_against_plain_search(spark, docs_of):
     assert decontaminate.find_contaminated(docs_of(rows), bench.limit(0)).collect() == []
 
 
+def plain_pairs(texts, items):
+    """Terms, and how often two of them stand in one half passage, by counting."""
+    terms = np.unique(np.concatenate(items.words)).tolist()
+    place = {t: i for i, t in enumerate(terms)}
+    want, held = np.zeros((len(terms), len(terms)), int), np.zeros(len(terms), int)
+    half = decontaminate.PASSAGE // 2
+    for text in texts:
+        words = decontaminate.tokens([text.encode()])[0].tolist()
+        held[[place[w] for w in {*words} if w in place]] += 1
+        for i in range(0, len(words), half):
+            t = np.zeros(len(terms), int)
+            np.add.at(t, [place[w] for w in words[i : i + half] if w in place], 1)
+            want += np.outer(t, t)
+    return want, held
+
+
+@pytest.mark.parametrize("cells, met", [(1 << 24, 1 << 25), (700, 300)])
+def test_the_basis_is_of_all_documents(spark, docs_of, monkeypatch, cells, met):
+    monkeypatch.setattr(decontaminate, "MOST_CELLS", cells)
+    monkeypatch.setattr(decontaminate, "STRIPE_CELLS", 200)
+    monkeypatch.setattr(decontaminate, "MOST_MET", met)
+    rnd = random.Random(12)
+    # More documents than a sample had, and one longer than it took.
+    texts = [prose(rnd, rnd.randint(1, 30), 150) for _ in range(2300)] + [prose(rnd, 5000, 150)]
+    assert len(texts[-1]) > 20_000
+    items = decontaminate.read_items([(1, prose(rnd, 40, 150)), (2, prose(rnd, 30, 150))])
+    docs = docs_of([(i, t) for i, t in enumerate(texts)] + [(None, None), (-1, "")])
+    want, held = plain_pairs(texts, items)
+    got = np.zeros(want.shape, int)
+    for row in decontaminate.count_terms(docs, np.unique(np.concatenate(items.words))).collect():
+        numbers = np.frombuffer(row.cells, np.int64)
+        if row.stripe < 0:
+            assert numbers.tolist() == [*held, len(texts) + 2]
+        else:
+            some = numbers.reshape(-1, len(want))
+            got[row.stripe : row.stripe + len(some)] = some
+    assert (got == want).all()
+
+
+def test_covered():
+    low, high = np.array([0, 2, 2, 9, 9, 20]), np.array([3, 3, 6, 9, 12, 21])
+    assert decontaminate.covered(low, high).tolist() == [0, 1, 2, 3, 4, 5, 9, 10, 11, 20]
+    assert len(decontaminate.covered(low[:0], high[:0])) == 0
+
+
 def test_products_come_to_the_driver_one_by_one(spark, docs_of, monkeypatch):
     rnd = random.Random(9)
     docs = docs_of([(i, prose(rnd, 200)) for i in range(40)])
