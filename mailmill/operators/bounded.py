@@ -1,10 +1,12 @@
-"""Small tables, proven small before anything is built on that."""
+"""Small tables, proven small before anything is built on that; tables kept for several readers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 # At most this many rows are taken to the driver or sent to every executor.
 MOST_ROWS = 10_000
 
@@ -24,3 +26,10 @@ def broadcast_if_small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def kept(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the work folder and read again, so that they are made once."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

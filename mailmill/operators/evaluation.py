@@ -207,7 +207,8 @@ def cross_validate(
     rows = fold_split(examples.where(F.col("category").isNotNull()), folds, seed)
     results = None
     for name, text in texts.items():
-        guesses = predict_bayes(rows.drop("category"), train_folds(rows, folds, text), text)
+        model = train_folds(rows, folds, text)
+        guesses = predict_bayes(rows.drop("category"), model, text, met=model.met())
         one = rows.select("id", "fold", F.col("category").alias("truth")).join(
             guesses.withColumnRenamed("category", "guess"), "id")
         one = one.select(

@@ -75,6 +75,37 @@ def test_folds_are_models_of_the_other_rows(spark):
     assert sampling.fold_split(spark.createDataFrame(rows, SCHEMA), 1).select("fold").distinct().collect()[0].fold == 0
 
 
+def test_folds_with_few_frequent_words_and_repeated_ids(spark, monkeypatch):
+    rows = messages(90) + messages(12, seed=7) + [(None, "the", "the zeta", "c"), (None, None, None, "b")]
+    folds = sampling.fold_split(spark.createDataFrame([r for r in rows if r[3] is not None], SCHEMA), 4)
+    model = bayes.train_folds(folds, 4)
+    found = []
+    for hot in (0, 3, 20_000):
+        monkeypatch.setattr(bayes, "HOT", hot)
+        for met in (None, model.met()):
+            guesses = bayes.predict_bayes(folds.drop("category"), model, met=met)
+            found.append(sorted((r.id or "", r.category) for r in guesses.collect()))
+    assert all(f == found[0] for f in found) and len(found[0]) == folds.count()
+    # A word of one fold alone is not known to its model, nor counted in its vocabulary.
+    alone = [("1", "", "only here", "a"), ("2", "", "both", "a"), ("3", "", "both", "b")]
+    own = spark.createDataFrame(alone, SCHEMA).withColumn("fold", F.when(F.col("id") == "3", 1).otherwise(0))
+    model = bayes.train_folds(own, 2)
+    gains = {r.word: r.gains for r in model.gains(["a", "b"]).collect()}
+    assert gains["only"][0] is None and gains["only"][1] == [round(math.log(2) * 1e9), 0]
+    assert [(r.fold, r.category, r.size) for r in model.class_rows()] == [
+        (0, "b", round(math.log(2) * 1e9)), (1, "a", round(math.log(6) * 1e9))]
+
+
+def test_words_of_examples_are_counted_once(spark, monkeypatch):
+    seen = []
+    plain_words = bayes.words_of
+    monkeypatch.setattr(bayes, "words_of", lambda df, *keep, **more: seen.append(keep) or plain_words(df, *keep, **more))
+    rows = spark.createDataFrame(messages(40), SCHEMA)
+    results = evaluation.cross_validate(rows, {"whole": bayes.message_text()}, 3)
+    # No shuffle of a row for each word of each message.
+    assert seen == [("fold", "category")] and results.count() == rows.where("category is not null").count()
+
+
 def test_bayes_without_examples_or_words(spark):
     none = bayes.train_bayes(spark.createDataFrame([], SCHEMA))
     test = spark.createDataFrame([("1", "s", "b", None), ("2", None, None, None)], SCHEMA)
