@@ -76,13 +76,27 @@ def _power_tables(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tables[0], tables[1]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each word, from sums of bytes times powers."""
+def byte_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of bytes times powers, and the inverse powers."""
     powers, inverse = _power_tables(max(16, int(len(raw)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], dtype=np.uint64)])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    values = raw.astype(np.uint64)
+    values += np.uint64(1)
+    values *= powers[: len(raw)]
+    np.cumsum(values, out=sums[1:])
+    return sums, inverse
+
+
+def hashes_between(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each start to its end."""
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, from sums of bytes times powers."""
+    return hashes_between(*byte_sums(raw), starts, ends)
+
+
 def words_of(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All texts on end, where each begins, and start, end and text of each word. `space` marks the bytes between words."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
@@ -116,7 +130,8 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     fits = owner[: max(n, 0)] == owner[CHUNK - 1 :] if n > 0 else np.zeros(0, bool)
     if not fits.any():
         return tuple(np.zeros(0, np.int64) for _ in range(7))
-    value = word_hashes(raw, starts[:n], np.where(fits, ends[CHUNK - 1 :], ends[:n]))
+    sums = byte_sums(raw)
+    value = hashes_between(*sums, starts[:n], np.where(fits, ends[CHUNK - 1 :], ends[:n]))
     # One word on and on has no least chunk; there every CHUNK words begin one.
     again = fits & np.concatenate([[False], fits[:-1] & (value[1:] == value[:-1]) & (owner[1:n] == owner[: n - 1])])
     since = np.arange(n) - np.maximum.accumulate(np.where(again, 0, np.arange(n)))
@@ -132,7 +147,7 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     upto = ends[at + CHUNK - 1]
     if len(at):
         upto = np.where(np.append(own[1:] == own[:-1], False), np.append(starts[at[1:]], 0), upto)
-    link = word_hashes(raw, starts[at], upto)
+    link = hashes_between(*sums, starts[at], upto)
     first = np.searchsorted(owner, own)
     last = np.searchsorted(owner, own, side="right") - 1
     left, right = starts[np.maximum(at - ROOM, first)], ends[np.minimum(at + CHUNK - 1 + ROOM, last)]
@@ -161,9 +176,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, hashes, links, *_ = chunks_of(some)
             place = np.arange(len(own)) - np.searchsorted(own, own)
             # The first of equal chunks of a text may stand for them in other texts; all are looked for there.
-            order = np.lexsort((place, hashes, own))
+            # Chunks come by text and place, and the sort keeps that order among equal ones.
+            order = np.lexsort((hashes, own))
             first = np.ones(len(own), bool)
-            first[order[1:]] = (hashes[order][1:] != hashes[order][:-1]) | (own[order][1:] != own[order][:-1])
+            hashed, whose = hashes[order], own[order]
+            first[order[1:]] = (hashed[1:] != hashed[:-1]) | (whose[1:] != whose[:-1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[at + own]), pa.array(place.astype(np.int32)), pa.array(hashes), pa.array(links), pa.array(first)],
                 names=["key", "place", "hash", "link", "first"],
@@ -219,8 +236,8 @@ def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    x, y = np.frombuffer(a[:n], np.uint8), np.frombuffer(b[:n], np.uint8)
-    return int(np.argmax(x != y))
+    unlike = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (unlike.bit_length() + 7) // 8
 
 
 def grown(left: bytes, right: bytes, other_left: bytes, other_right: bytes) -> tuple[int, int]:
@@ -241,14 +258,13 @@ def grown(left: bytes, right: bytes, other_left: bytes, other_right: bytes) -> t
 
 
 def _span(start: pa.Array, end: pa.Array, left: pa.Array, body: pa.Array, right: pa.Array, o_left: pa.Array, o_body: pa.Array, o_right: pa.Array) -> pa.Array:
-    out = []
+    starts, ends, unlike = [], [], []
     for s, e, lt, bd, rt, ol, ob, rr in zip(*(c.to_pylist() for c in (start, end, left, body, right, o_left, o_body, o_right))):
-        if bd != ob:
-            out.append(None)
-            continue
-        n, m = grown(lt, rt, ol, rr)
-        out.append({"start": s - n, "end": e + m})
-    return pa.array(out, pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        n, m = grown(lt, rt, ol, rr) if bd == ob else (0, 0)
+        starts.append(s - n)
+        ends.append(e + m)
+        unlike.append(bd != ob)
+    return pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["start", "end"], mask=pa.array(unlike, pa.bool_()))
 
 
 def without(text: bytes, spans: list[dict], least: int) -> tuple[bytes, int]:
@@ -326,12 +342,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
     @F.arrow_udf("struct<text:string,removed:bigint>")
     def cut(packed: pa.Array, all_spans: pa.Array) -> pa.Array:
-        tool, out = zstandard.ZstdDecompressor(), []
-        for x, own in zip(packed, all_spans):
-            raw = tool.decompress(x.as_py())
-            kept, n = without(raw, own.as_py() or [], least)
-            out.append({"text": kept.decode("utf-8"), "removed": n})
-        return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.int64())]))
+        texts, removed = [], []
+        for raw, own in zip(_unpacked(packed), all_spans):
+            kept, n = without(raw, own.as_py(), least) if len(own) else (raw, 0)
+            texts.append(kept)
+            removed.append(n)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(removed, pa.int64())], ["text", "removed"])
 
     order = docs.columns
     whole = docs.withColumn("_lines_key", _key(text, doc_id)).withColumn("_lines_packed", F.arrow_udf(_packed, "binary")(F.coalesce(F.col(text), F.lit(""))))
