@@ -194,6 +194,18 @@ def test_chunks_do_not_depend_on_what_stands_before():
     assert (alone[1] == whole[1][whole[0] == 1]).all()
 
 
+def test_bytes_of_a_slice_are_summed_once(monkeypatch):
+    summed, plain = [], lines.byte_sums
+    monkeypatch.setattr(lines, "byte_sums", lambda raw: summed.append(len(raw)) or plain(raw))
+    text = prose(random.Random(3), 200).encode()
+    assert len(lines.chunks_of([text])[0]) > 2 and summed == [len(text) + 1]
+
+
+def test_common_start():
+    for a, b, n in ((b"", b"x", 0), (b"ab", b"ab", 2), (b"ab", b"abc", 2), (b"abx", b"aby", 2), (b"\x00a", b"\x00b", 1), (b"b", b"a", 0)):
+        assert lines._common(a, b) == lines._common(b, a) == n
+
+
 def test_grown_stops_at_words():
     assert lines.grown(b"aa bb ", b" cc dd", b"xx bb ", b" cc de") == (4, 3)
     assert lines.grown(b"", b"", b"a ", b" b") == (0, 0)
